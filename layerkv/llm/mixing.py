@@ -69,7 +69,7 @@ def position(share: Column, curve: Column, curves: tuple) -> Column:
 
 def source_key(source: str) -> Column:
     """Sorts as the source by code point, null last, and is never null."""
-    return F.when(col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), col(source).cast("string")))
+    return F.coalesce(F.concat(F.lit("0"), col(source).cast("string")), F.lit("1"))
 
 
 def targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float, n_curves: int = 1) -> DataFrame:
@@ -102,7 +102,7 @@ def plan_mix(
     """The rows of ``df`` with size, source_size, target, copies, taken and _before (words of the source before it)."""
     ranges = shuffle_partitions(df.sparkSession)
     digest = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    span = F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int")
+    span = F.coalesce(F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * ranges / 65536), F.lit(0)).cast("int")
     rows = df.select("*", size.cast("long").alias("size"), source_key(source).alias("_source"), digest.alias("_digest"), span.alias("_span"))
     spans = rows.groupBy("_source", "_span").agg(F.sum("size").alias("_words"))
     totals = spans.groupBy("_source").agg(F.sum("_words").alias("source_size"))
