@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from layerkv.llm import query_chat, query_mixing, query_quality_model, query_quality_rules, query_sharding
+from layerkv.llm import query_chat, query_mixing, query_quality_model, query_quality_rules, query_sharding, query_toxicity
 
-MODULES = (query_sharding, query_mixing, query_quality_model, query_quality_rules, query_chat)
+MODULES = (query_sharding, query_mixing, query_quality_model, query_quality_rules, query_toxicity, query_chat)
 
 
 def queries() -> dict:

@@ -1,0 +1,19 @@
+"""op9: the string-kernel machine over every whole document. SQL can't train it; accuracy is tested on the held-out fold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerkv.llm.common import table
+from layerkv.llm.toxicity import score, train
+from layerkv.llm.training import fold
+
+NAME, SQL = "op9_toxicity", None
+THRESHOLD = 0.5
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
