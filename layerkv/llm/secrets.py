@@ -44,7 +44,7 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-ADDRESS = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.)\S+|[^\s@]+@[^\s@]+\.[^\s@]+")
+SOLID = re.compile(r"\S+")
 
 
 @lru_cache(2)
@@ -74,6 +74,11 @@ def known(run: str) -> bool:
     return kinds < 2 or run[0].isupper() and run[1:].islower() or len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run)) or bool(UUID.fullmatch(run))
 
 
+def is_address(part: str) -> bool:
+    """Whether a part between white space is a link or a mail address."""
+    return "://" in part or part.startswith("www.") or "." in part.partition("@")[2]
+
+
 class Cover:
     """Whether one of the spans covers a run; runs must be asked for in order of their starts."""
 
@@ -93,7 +98,7 @@ def random_spans(text: str, base: list[tuple[int, int, str]], tokens: tiktoken.E
         start, end = m.span()
         if patterns.holds(start, end) or known(m[0]):
             continue
-        addresses = addresses or Cover([a.span() for a in ADDRESS.finditer(text)])
+        addresses = addresses or Cover([a.span() for a in SOLID.finditer(text) if is_address(a[0])])
         if not addresses.holds(start, end) and chars_per_token(m[0], tokens) < MOST_CHARS_PER_TOKEN:
             found.append((start, end, "random"))
     return found
