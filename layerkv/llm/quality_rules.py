@@ -50,10 +50,11 @@ def with_grams(df: DataFrame, array: str, out: str, buckets: int) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> list[float]:
     """The log ratio of each bucket, from all of ``docs``; ``trusted`` has the ids to trust.
 
-    One pass: every document is flagged by a join on its id, and its n-grams are summed by bucket
-    before anything is shuffled; ``buckets`` rows come back.
+    One pass: every document is flagged by a join on its id, then its n-grams are summed by bucket
+    in the task that reads it; ``buckets`` rows come back. The ids are as many as the corpus has
+    trusted texts, so the join always sorts and merges and never broadcasts them.
     """
-    good = trusted.select(col(doc_id).alias("_good")).where("_good IS NOT NULL").distinct()
+    good = trusted.select(col(doc_id).alias("_good")).where("_good IS NOT NULL").distinct().hint("merge")
     flagged = docs.select(col(doc_id).alias("_id"), col(text).alias("_text")).join(good, F.col("_id") == F.col("_good"), "left")
     flagged = flagged.select(words(F.col("_text")).alias("_words"), F.col("_good").isNotNull().cast("long").alias("_flag"))
     # An inner explode would get a filter on the array's size, pushed below the split it is made from.
