@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from layerkv.llm import query_chat, query_decontamination, query_html_text, query_mixing, query_quality_model, query_quality_rules, query_secrets, query_sharding, query_toxicity
+from layerkv.llm import query_chat, query_decontamination, query_html_text, query_mixing, query_near_dedup, query_quality_model, query_quality_rules, query_secrets, query_sharding, query_toxicity
 
-MODULES = (query_sharding, query_mixing, query_html_text, query_quality_model, query_quality_rules, query_secrets, query_decontamination, query_toxicity, query_chat)
+MODULES = (query_sharding, query_near_dedup, query_mixing, query_html_text, query_quality_model, query_quality_rules, query_secrets, query_decontamination, query_toxicity, query_chat)
 
 
 def queries() -> dict:
