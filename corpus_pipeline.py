@@ -1,4 +1,63 @@
-STAGES = []
+"""Documents to training shards: quality, near duplicates, benchmark passages, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All stages but the last keep the columns of documents. Compression,
+signatures and alignment are beyond SQL, so the pipeline is tested against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerkv.llm import decontamination, mixing, near_dedup, quality_model, sharding
+from layerkv.llm.common import checkpoint_dir, table
+
+QUALITY, SHARDS = 0.3, 40
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier doesn't reject."""
+    return quality_model.keep_good(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), QUALITY)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document of the least id."""
+    return near_dedup.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes, range-sorted by training position."""
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each copy; equal texts stand side by side."""
+    order = {"text_crc32": sharding.text_crc32(), "doc_id": F.col("doc_id")}
+    out = sharding.assign_shards(docs, sharding.text_bytes(), order, SHARDS, keep=("lang", "source", "n_chars"))
+    return out.select("doc_id", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot")
+
+
+STAGES = [("quality", quality), ("near_dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``. What a stage returns is written below the shared checkpoint folder and
+    removed when the next stage's is written; the last stage's input stays there for the result."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/corpus_pipeline-{uuid.uuid4()}", None
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before), True)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
