@@ -101,7 +101,7 @@ class Store:
     def remove_obsolete(self, keep: tuple[Version, ...] = ()) -> list[str]:
         """Delete files that neither this version nor those in ``keep`` name. Plans made earlier may still read them: call it when none is left."""
         kept = (self.version, *keep)
-        named = {f"{SEGMENTS}/{s.number:012d}" for v in kept for s in v.segments} | {"/".join(f.path.split("/")[:2]) for v in kept for f in v.files}
+        named = {s.path for v in kept for s in v.segments} | {"/".join(f.path.split("/")[:2]) for v in kept for f in v.files}
         numbers = {f"{v.number:012d}.json" for v in kept}
         gone = [f"{MANIFESTS}/{n}" for n in self.folder.names(MANIFESTS) if n not in numbers]
         gone += [f"{top}/{n}" for top in (SEGMENTS, TABLES) for n in self.folder.names(top) if f"{top}/{n}" not in named]
@@ -164,13 +164,13 @@ class Store:
 
     def _add_segment(self, entries: DataFrame, rows: int, size: int | None, last: int, streams: dict[str, int] | None = None) -> None:
         number = self.version.next_number
-        name = f"{SEGMENTS}/{number:012d}"
+        name = f"{SEGMENTS}/{number:012d}-{uuid.uuid4().hex[:8]}"  # another writer may try the same number
         try:
-            self._writer(entries, rows).mode("overwrite").parquet(f"{self.folder.path}/{name}")
+            self._writer(entries, rows).parquet(f"{self.folder.path}/{name}")
         except Exception as e:
             self.error = e
             raise
-        segment = Segment(number, rows, self.folder.size(name) if size is None else size)
+        segment = Segment(number, name, rows, self.folder.size(name) if size is None else size)
         self._commit(self.version.next(next_number=number + 1, last_sequence=last, segments=(*self.version.segments, segment), streams=self.version.streams | (streams or {})))
 
     def write_frame(self, changes: DataFrame, stream: str | None = None, batch_id: int = 0) -> int:
@@ -201,7 +201,7 @@ class Store:
         """All stored entries, of files whose range meets ``[low, high]`` if given."""
         lo, hi = (None if k is None else as_bytes(k).hex() for k in (low, high))
         files = [f for f in self.version.files if (lo is None or f.largest >= lo) and (hi is None or f.smallest <= hi)]
-        paths = [f"{self.folder.path}/{SEGMENTS}/{s.number:012d}" for s in self.version.segments] + [f"{self.folder.path}/{f.path}" for f in files]
+        paths = [f"{self.folder.path}/{s.path}" for s in self.version.segments] + [f"{self.folder.path}/{f.path}" for f in files]
         parts = [self.spark.read.schema(ENTRY).parquet(*paths)] if paths else []
         if self.pending or not parts:
             parts.append(self.spark.createDataFrame(self._pending_rows(), ENTRY))
@@ -297,7 +297,7 @@ class Store:
         self.sync()
         if not self.version.segments:
             return False
-        tail = [f"{self.folder.path}/{SEGMENTS}/{s.number:012d}" for s in self.version.segments]
+        tail = [f"{self.folder.path}/{s.path}" for s in self.version.segments]
         kept = versions.collapse(self.spark.read.schema(ENTRY).parquet(*tail), self.smallest_snapshot())
         rows = sum(s.rows for s in self.version.segments)
         files, after = self._write_table(kept, 0, 1, rows)
