@@ -218,7 +218,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text")
 def findings(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``doc_id, item_id, start, end, edits`` for each document that holds a passage of an item."""
     schema = docs.select(doc_id).schema
-    schema = schema.add(items.schema[item_id].name, items.schema[item_id].dataType).add("start", "long").add("end", "long").add("edits", "int")
+    schema = schema.add(items.schema[item_id].name, items.schema[item_id].dataType).add("start", "long").add("end", "long").add("edits", "integer")
     out = None
     for block in item_blocks(items, item_id):
         found = docs.select(doc_id, text).mapInArrow(_finder(docs, block, doc_id, text, schema), schema)
