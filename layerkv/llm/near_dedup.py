@@ -10,13 +10,14 @@ of darts; where a coordinate stays empty, twice the rank is thrown. A second sig
 first unit of width stands for the set of shingles, and differs only where shingles repeat.
 
 Texts are linked if the Jaccard similarity of their shingle sets or multisets is ``SIMILARITY`` or
-more. Signatures only propose links: equal word sequences are merged first; texts that share a band
-of coordinates are compared with the band's least id, exactly, by their shingles; and where a band's
-texts still fall into several classes, those that share a second band are compared in the same way.
-Classes are connected components, found by star contraction.
-
-A pair at the threshold shares one of the 32 bands of 5 coordinates with probability 0.999997, and
-two of them with 0.99995; pairs above are surer.
+more. Signatures only propose links: equal word sequences are merged first, then texts that share a
+band of coordinates are compared exactly, by their shingles. Comparing all of a band's texts would
+take a square of their number, so they are compared with one of them: the one that shares most bands
+with others, which finds the middle of a group of near copies. Where a band's texts then still are in
+several classes (connected components, found by star contraction), those that share two more bands
+are compared with one of these. Pairs at the threshold share one of the 32 bands of 5 coordinates
+with probability 0.999997. What this can miss are links of texts that are alike to few others in a
+large group whose similarities all lie around the threshold: the README has figures.
 
 Defined results
 - One row for each row of the input: its id and ``class_id``, the least id of its class.
@@ -30,6 +31,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from layerkv.llm.common import materialize
+from layerkv.llm.common import materialize, shuffle_partitions
 from layerkv.llm.shingles import BASE, blocks, mix, powers, shingled
 
 SIMILARITY = 0.8
@@ -46,6 +48,8 @@ COORDINATES = BANDS * ROWS
 #: Darts a text expects: all coordinates are hit with probability exp(-exp(-3)).
 DARTS = COORDINATES * (float(np.log(COORDINATES)) + 3)
 ID_BITS = 40
+#: Bands after a shared one of which two more are asked for where a band's texts fall into several classes.
+FOLLOWING = 3
 U1, U2, U3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
 
@@ -138,7 +142,10 @@ def fingerprints(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarra
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, hi, lo, keys``: the fingerprint of each text's words, and its band keys."""
+    """``id, hi, lo, keys``: the fingerprint of each text's words, and its band keys.
+
+    There are ``BANDS`` keys, by band, or twice as many where shingles repeat, the second half for the set.
+    """
     schema = docs.select(F.col(doc_id).alias("id")).schema.add("hi", "long").add("lo", "long").add("keys", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +168,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     unit = bands(signatures(place[who[some]], what[some], np.ones(int(some.sum())), int(heavy.sum()))).view(np.int64)
                     units = {int(i): unit[k] for k, i in enumerate(np.flatnonzero(heavy))}
                 for i in np.unique(owner).tolist():
-                    keys[at + i] = np.unique(np.concatenate([full[i], units[i]])) if i in units else full[i]
+                    keys[at + i] = np.concatenate([full[i], units[i]]) if i in units else full[i]
             lengths = np.cumsum([0, *map(len, keys)])
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -207,10 +214,8 @@ def alike(a: bytes, b: bytes, similarity: float) -> bool:
     return sets or len(both) >= similarity * (len(x) + len(y) - len(both))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` of ids whose texts are alike. ``docs`` has ``id, text``, one row for each id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(shingle_sets(docs.join(ids.hint("merge"), "id", "left_semi")))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of ids whose texts are alike. ``sets`` has ``id, shingles``, one row for each id."""
     b, a = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     rows = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "x", "y")
     schema = pairs.select("a", "b").schema
@@ -223,20 +228,25 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Written down in fewer files: pairs and links take a small part of the texts' room."""
+    return materialize(df.repartition(max(1, shuffle_partitions(df.sparkSession) // 16)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of the edges ``a, b``, root the least node connected to it.
 
     Large and small stars by turns: each node's neighbours above it are tied to its least neighbour,
     then its neighbours below it are. Both only group and join by node, and the edges never grow.
     """
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = narrow(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = materialize(small.select("u", F.col("m").alias("v")).unionByName(tied).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        new = narrow(small.select("u", F.col("m").alias("v")).unionByName(tied).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         old, now = (e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for e in (edges, new))
         edges = new
         if old == now:
@@ -245,37 +255,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def starred(members: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs ``a, b`` of each group's least id with its others."""
-    least = members.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("_most")).where("a < _most").drop("_most")
-    return members.join(least, key).where("id > a").select("a", F.col("id").alias("b")).distinct()
+    """Pairs ``a, b`` of one member of each group, the one of the greatest ``rank``, with the members of other classes."""
+    one = members.groupBy(*key).agg(F.max_by(F.struct("id", "root"), F.struct("rank", "id")).alias("_one"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high")
+    pairs = members.join(one.select(*key, F.col("_one.id").alias("_one"), F.col("_one.root").alias("_its")), key).where("root <> _its")
+    return pairs.select(F.least("_one", "id").alias("a"), F.greatest("_one", "id").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id`` of every row."""
     rows = materialize(sketches(docs, doc_id, text))
     exact = rows.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    members = exact.where("id IS NOT NULL").select("id", F.explode("keys").alias("key"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    texts = texts.where("id IS NOT NULL")
-
-    pairs = materialize(starred(members, ["key"]))
-    links = materialize(verified(pairs, texts, similarity))
+    # Each band key of a text, and a hash of it with any two of the bands that follow in its signature.
+    at = f"p div {BANDS} * {BANDS} + (p + {{}}) % {BANDS}"
+    triples = ", ".join(f"xxhash64(keys[p], keys[{at.format(x)}], keys[{at.format(y)}])" for x, y in combinations(range(1, FOLLOWING + 1), 2))
+    chain = F.expr(f"if(size(keys) > 0, transform(sequence(0, size(keys) - 1), p -> struct(keys[p] AS key, array({triples}) AS triples)), NULL)")
+    members = exact.where("id IS NOT NULL").select("id", F.explode(chain).alias("c")).select("id", "c.*")
+    shared = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low < _high").select("key", "n")
+    members = narrow(members.join(shared, "key"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    sets = materialize(shingle_sets(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi")))
+
+    # All texts of a band with the one that shares the most bands with others.
+    popular = members.groupBy("id").agg(F.sum("n").alias("rank"))
+    pairs = narrow(starred(members.select("id", "key", F.col("id").alias("root")).join(popular.hint("merge"), "id"), ["key"]))
+    links = narrow(verified(pairs, sets, similarity))
     roots = components(links)
 
-    # Bands whose texts fall into several classes: texts in them that also share a second band are compared.
-    rooted = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    # Where a band's texts are in several classes still: those that share two more bands with one of them.
+    rooted = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key")
-    kept = materialize(rooted.join(open_, "key"))
-    own = kept.select("id", F.col("key").alias("second"))
-    refined = kept.join(own.hint("merge"), "id").where("key < second")
-    more = starred(refined, ["key", "second"]).join(pairs, ["a", "b"], "left_anti")
-    held = kept.select("id", "root").distinct()
-    more = more.join(held.select(F.col("id").alias("a"), F.col("root").alias("_ra")), "a").join(held.select(F.col("id").alias("b"), F.col("root").alias("_rb")), "b")
-    more = materialize(more.where("_ra <> _rb").select("a", "b"))
-    if not more.isEmpty():
-        found = materialize(verified(more, texts, similarity))
-        if not found.isEmpty():
-            roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found.select("a", "b")))
+    groups = rooted.join(open_, "key").select("id", "root", F.xxhash64("id").alias("rank"), F.explode("triples").alias("triple"))
+    more = narrow(starred(groups, ["triple"]).join(pairs, ["a", "b"], "left_anti"))
+    found = narrow(verified(more, sets, similarity))
+    if not found.isEmpty():
+        roots = components(links.unionByName(found))
 
     named = exact.select("hi", "lo", "id").join(roots, F.col("id") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "id").alias("class_id"))
     return rows.select("id", "hi", "lo").join(named.hint("merge"), ["hi", "lo"]).select(F.col("id").alias(doc_id), "class_id")
