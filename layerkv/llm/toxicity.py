@@ -20,7 +20,6 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -251,40 +250,36 @@ def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS)
     Taken one by one; each halves the weight of the toxic texts it occurs in, so that later ones
     stand for texts that earlier ones don't.
     """
-    reader = Reader()
-    sets: list[set[str]] = []
-    for t in texts:
-        found: set[str] = set()
+    reader, number, names, found = Reader(), {}, [], []
+    for t in texts:  # each text as sorted numbers of its words and their beginnings
+        seen: set[str] = set()
         for p in pieces(t.lower()):
             codes, starts, _, _ = reader.words([p])
-            all_ = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
-            found |= {all_[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a >= PREFIXES[0]}
-        sets.append(found | {w[:k] for w in found for k in PREFIXES if len(w) > k})
-    inside: Counter = Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        if y:
-            inside.update(s)
-    n1 = max(1, sum(toxic))
-    n0 = max(1, len(toxic) - n1)
-    often = {w for w, n in inside.items() if n >= max(2, n1 // 200)}
-    outside: Counter = Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        if not y:
-            outside.update(s & often)
-    odds = {w: math.log((inside[w] + 0.5) / (n1 + 1)) - math.log((outside[w] + 0.5) / (n0 + 1)) for w in often}
-    rows = {w: [] for w, x in odds.items() if x > 1}
-    for i, (s, y) in enumerate(zip(sets, toxic, strict=True)):
-        if y:
-            for w in s & rows.keys():
-                rows[w].append(i)
-    places = {w: np.array(r) for w, r in rows.items()}
+            letters = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
+            seen |= {letters[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a >= PREFIXES[0]}
+        seen |= {w[:k] for w in seen for k in PREFIXES if len(w) > k}
+        for w in seen:
+            if w not in number:
+                number[w] = len(names)
+                names.append(w)
+        found.append(np.sort(np.fromiter((number[w] for w in seen), np.int32, len(seen))))
+    y = np.array(toxic, bool)
+    n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, t in zip(found, y, strict=True) if t == k)]), minlength=len(names)) for k in (False, True)]
+    odds = np.log((count[1] + 0.5) / (n1 + 1)) - np.log((count[0] + 0.5) / (n0 + 1))
+    good = (count[1] >= max(2, n1 // 200)) & (odds > 1)
+    places: dict[int, list[int]] = {int(w): [] for w in np.flatnonzero(good)}
+    for i in np.flatnonzero(y):
+        for w in found[i][good[found[i]]].tolist():
+            places[w].append(int(i))
+    rows = {w: np.array(r) for w, r in places.items()}
     weight, chosen = np.ones(len(texts)), []
-    while places and len(chosen) < most:
-        best = max(places, key=lambda w: (round(odds[w] * float(weight[places[w]].sum()), 9), len(w), w))
-        if odds[best] * weight[places[best]].sum() < 0.5:
+    while rows and len(chosen) < most:
+        best = max(rows, key=lambda w: (round(float(odds[w] * weight[rows[w]].sum()), 9), len(names[w]), names[w]))
+        if odds[best] * weight[rows[best]].sum() < 0.5:
             break
-        chosen.append(best)
-        weight[places.pop(best)] *= 0.5
+        chosen.append(names[best])
+        weight[rows.pop(best)] *= 0.5
     return chosen
 
 
