@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The white space that separates words, as regular expression classes and as plain characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,6 +46,24 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` but those named, which an operator reads away or puts its own in place of (names compare without case)."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name, also with dots; ``run`` sees and gives the real names."""
+    names = df.columns
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain.names)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*schema.names)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerkv.llm.common import map_arrow
+
 Q, WINDOW, STRIDE, WHOLE, EDITS = 10, 120, 60, 160, 0.08
 #: Characters of items in one block, and of texts that are looked at together.
 BLOCK, TEXT_BLOCK = 1 << 22, 1 << 20
@@ -221,7 +223,7 @@ def findings(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     schema = schema.add(items.schema[item_id].name, items.schema[item_id].dataType).add("start", "long").add("end", "long").add("edits", "integer")
     out = None
     for block in item_blocks(items, item_id):
-        found = docs.select(doc_id, text).mapInArrow(_finder(docs, block, doc_id, text, schema), schema)
+        found = map_arrow(docs.select(doc_id, text), _finder(docs, block, doc_id, text, schema), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -258,5 +260,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") ->
                 keep[[r[0] for r in search.find([t.as_py() or "" for t in batch.column(text)])]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_arrow(out, run, docs.schema)
     return out

@@ -14,6 +14,7 @@ Defined results
   and joined by a line feed, empty ones left out. A ``br`` is white space.
 - Unclosed and misplaced tags are closed where HTML closes them; an unclosed comment or script runs
   to the end of the page. Reading takes time in proportion to the page, however deep it is.
+- Input columns ``text`` and ``n_chars`` are left out; an empty table gives an empty result.
 - Nothing is cut off: whole pages are read and the whole article is returned.
 """
 
@@ -27,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from layerkv.llm.common import col, map_arrow, others
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>", re.DOTALL
 )
@@ -227,12 +230,12 @@ def main_text(source: str | None) -> str:
 
 def extract(df: DataFrame, source: str = "html") -> DataFrame:
     """The columns of ``df`` with ``text`` and ``n_chars`` in place of the page's source."""
-    rest = [c for c in df.columns if c != source]
-    schema = df.select(*rest).schema.add("text", "string").add("n_chars", "long")
+    rest = others(df, source, "text", "n_chars")
+    schema = df.select(*map(col, rest)).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(t.as_py()) for t in batch.column(source)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
+            texts = [main_text(t.as_py()) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df.select(*map(col, [*rest, source])), run, schema)

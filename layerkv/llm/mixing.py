@@ -15,7 +15,8 @@ Defined results
   its own, last in order.
 - A source without words has target 0. An empty table gives an empty result.
 - Rows of equal id are ordered by their size, and are otherwise interchangeable.
-- All columns of the input are kept; the operator's own get free names where they clash.
+- ``mix`` keeps all columns of the input, whatever their names. ``plan_mix`` adds columns of its own; an input column of such a
+  name is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerkv.llm.common import WORD, col, shuffle_partitions
+from layerkv.llm.common import WORD, col, others, shuffle_partitions
 
 #: Knots (time, weight): weight relative to the source's mean over training.
 FLAT = ((0.0, 1.0), (1.0, 1.0))
@@ -103,7 +104,8 @@ def plan_mix(
     ranges = shuffle_partitions(df.sparkSession)
     digest = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
     span = F.coalesce(F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * ranges / 65536), F.lit(0)).cast("int")
-    rows = df.select("*", size.cast("long").alias("size"), source_key(source).alias("_source"), digest.alias("_digest"), span.alias("_span"))
+    own = "size source_size target copies taken _source _digest _span _sum _start _before _curve _words".split()
+    rows = df.select(*map(col, others(df, *own)), size.cast("long").alias("size"), source_key(source).alias("_source"), digest.alias("_digest"), span.alias("_span"))
     spans = rows.groupBy("_source", "_span").agg(F.sum("size").alias("_words"))
     totals = spans.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     starts = spans.select("_source", "_span", F.coalesce(F.sum("_words").over(Window.partitionBy("_source").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))

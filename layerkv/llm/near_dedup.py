@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from layerkv.llm.common import materialize, shuffle_partitions
+from layerkv.llm.common import col, free_name, map_arrow, materialize, shuffle_partitions
 from layerkv.llm.shingles import BASE, blocks, mix, powers, shingled
 
 SIMILARITY = 0.8
@@ -175,7 +175,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 [batch.column(0), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64()))], names=schema.names
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(doc_id, text), run, schema)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     out[at + i] = small[cut[i] : cut[i + 1]].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def alike(a: bytes, b: bytes, similarity: float) -> bool:
@@ -225,7 +225,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             keep = [alike(x.as_buffer(), y.as_buffer(), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def narrow(df: DataFrame) -> DataFrame:
@@ -298,5 +298,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simi
     """The rows of ``docs`` without near duplicates: of each class, the document of the least id."""
     first = classes(docs.select(doc_id, text), doc_id, text, similarity).where(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
     once = Window.partitionBy(doc_id).orderBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    kept = docs.join(first.hint("merge"), doc_id, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    return kept.select(docs.columns)
+    place = free_name(docs, "_n")
+    kept = docs.join(first.hint("merge"), doc_id, "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).drop(place)
+    return kept.select(*map(col, docs.columns))

@@ -10,6 +10,7 @@ almost nothing under either dictionary repeats itself.
 Defined results
 - A null or empty text has difference 0 and scores as a text of which nothing is known.
 - Without labels of both classes the score of every text is the share of label 1 (1 if no labels).
+- An input column ``score`` is left out; an empty table gives an empty result.
 - Scores depend on the text only: equal texts score equally, wherever they stand.
 - The whole text is compressed, a piece at a time, so memory doesn't grow with its length.
 """
@@ -26,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from layerkv.llm.common import col, map_arrow, others
 from layerkv.llm.training import label_counts, sample
 
 #: At most this many labelled rows of each class are learned from, of at most so many bytes each.
@@ -112,16 +114,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``df`` with ``score`` in place of the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*rest).schema.add("score", "double")
+    rest = others(df, text, "score")
+    schema = df.select(*map(col, rest)).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = [scorer.score((t.as_py() or "").encode()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(scores, pa.float64())], names=[*rest, "score"])
+            scores = [scorer.score((t.as_py() or "").encode()) for t in batch.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*rest, "score"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df.select(*map(col, [*rest, text])), run, schema)
 
 
 def keep_good(df: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -133,7 +135,7 @@ def keep_good(df: DataFrame, model: Model, threshold: float) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer.score((t.as_py() or "").encode()) >= threshold for t in batch.column("text")], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def is_good(threshold: float):

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layerkv.llm.common import SPACE, SPACE_CHARS, col
+from layerkv.llm.common import SPACE, SPACE_CHARS, col, others
 
 BUCKETS = 16384
 #: Mean log ratio that a text must reach: below it, n-grams are about 6% rarer in trusted text.
@@ -70,7 +70,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text
 
 def measure(df: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    rest = [col(c) for c in df.columns if c != text]
+    added = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed score kept _words _lines _runs _grams _sorted _starts".split()
+    rest = [col(c) for c in others(df, text, *added)]
     plain = F.coalesce(col(text), F.lit(""))
     lines = F.filter(F.split(plain, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     rows = df.select(

@@ -9,6 +9,7 @@ Defined results
 - A null text is empty; an empty text has no spans. Repeated rows are scanned each for itself.
 - Spans are in code points, end exclusive. Matches of one pattern never overlap; an assignment and
   the hexadecimal run in it are two spans. A random run that lies in a pattern's span isn't repeated.
+- Input columns named like the results are left out; an empty table gives an empty result.
 - Whole texts are scanned. Runs are tokenized in pieces of a bounded length, so the time for a run
   grows with its length only.
 - The tokenizer's ranks are read by the driver, from the path given, and sent to the executors.
@@ -27,6 +28,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
+from layerkv.llm.common import col, map_arrow, others
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
 #: Least length of a pattern's secret; the assignment's is that of its value.
@@ -117,23 +120,24 @@ def find(text: str, tokens: tiktoken.Encoding) -> tuple[list[tuple[int, int, str
 def scan(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns of ``df`` with counts, digest and spans in place of the text."""
     ranks = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*rest).schema
-    for name, kind in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string")):
+    added = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    rest = others(df, text, *added)
+    schema = df.select(*map(col, rest)).schema
+    for name, kind in zip(added, ("long", "long", "long", "string", "string"), strict=True):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(ranks.value)
         for batch in batches:
             rows = []
-            for t in batch.column(text):
+            for t in batch.columns[-1]:
                 base, more = find(t.as_py() or "", tokens)
                 kinds = [k for _, _, k in base]
                 rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
-            added = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *added], names=schema.names)
+            results = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *results], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df.select(*map(col, [*rest, text])), run, schema)
 
 
 def redact(text: str, tokens: tiktoken.Encoding, mark: str = "[secret]") -> str:

@@ -12,8 +12,8 @@ Defined results
   most; a row larger than a shard leaves neighbouring shards empty.
 - Equal order keys are taken in any order; such rows are interchangeable if the order columns
   determine the size.
-- An empty table gives an empty result. Other columns are dropped unless named in ``keep``, and
-  may have any name but those of the result.
+- An empty table gives an empty result. Other columns are dropped unless named in ``keep``;
+  one named like a column of the result is dropped in any case.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ def assign_shards(
     if n_shards < 1:
         raise ValueError("n_shards must be 1 or more")
     names = [*order]
+    own = {n.lower() for n in (*order, "size", "byte_start", shard, slot, "_bytes_before", "_rows_before", "_total", "_row", "_sum", "_at", "_first")}
     part = free_name(df, "_part")
     rows = df.select(
-        *[col(c) for c in keep if c not in order], *[e.alias(n) for n, e in order.items()], F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")
+        *[col(c) for c in keep if c.lower() not in own], *[e.alias(n) for n, e in order.items()], F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size")
     )
     parts = shuffle_partitions(df.sparkSession)
     # The order is cut at sampled bounds. Writing it down makes every later read see the same cut.

@@ -13,6 +13,7 @@ support vector machine is trained on the labelled sample, and its margin is cali
 Defined results
 - A null or empty text, and one without any word like a landmark, scores as texts without insults.
 - Without labels of both classes every text scores the share of label 1 (0 if no labels).
+- An input column ``score`` is left out; an empty table gives an empty result.
 - Scores depend on the text only. Whole texts are read, in blocks of a bounded number of letters;
   words seen before in a task are looked up, in a table that is emptied when it is full.
 """
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from layerkv.llm.common import col, map_arrow, others
 from layerkv.llm.quality_model import logistic
 from layerkv.llm.training import label_counts, sample
 
@@ -352,13 +354,13 @@ class Scorer:
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The columns of ``df`` with ``score`` in place of the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*rest).schema.add("score", "double")
+    rest = others(df, text, "score")
+    schema = df.select(*map(col, rest)).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = scorer.scores([t.as_py() or "" for t in batch.column(text)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(scores, pa.float64())], names=[*rest, "score"])
+            scores = scorer.scores([t.as_py() or "" for t in batch.columns[-1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*rest, "score"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df.select(*map(col, [*rest, text])), run, schema)
