@@ -6,6 +6,7 @@ plus one, an error event deletes. ``ORDERS`` is that of customers' orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from layerkv import workloads
 from layerkv.functions import columns
 from layerkv.operators import amplification, layout, lookups, versions
+from layerkv.plans.options import Options
+from layerkv.plans.store import Store
 from layerkv.sources.change_logs import event_log, order_log, read
+from layerkv.streaming.ingest import ingest, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,3 +402,68 @@ def _(spark, folder):
 def _(spark, folder):
     name = F.format_string("%06d.sst", F.col("s_suppkey"))
     return read(spark, folder, "supplier").select("s_suppkey", name.alias("name"), F.regexp_extract(name, r"^(\d+)\.(sst|log)$", 1).cast("long").alias("number"), F.regexp_extract(name, r"^(\d+)\.(sst|log)$", 2).alias("kind"))
+
+
+# Stores
+
+
+def new_store(spark: SparkSession) -> Store:
+    """A store of its own below the cluster's shared checkpoint folder."""
+    return Store.open(spark, f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/store-{uuid.uuid4()}", Options(background_compaction=False, l0_compaction_trigger=2))
+
+
+def event_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a store's changes; the value is the event's number."""
+    log = event_log(spark, folder)
+    return log.select(workloads.bench_key(F.col("user_key")).alias("user_key"), "vtype", (F.col("seq") - 1).cast("string").alias("value"), "seq")
+
+
+def read_back(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_key").cast("string").alias("user_key"), F.col("value").cast("string").cast("long").alias("event_id"))
+
+
+STORED = "SELECT printf('user%016d', user_key) AS user_key, seq - 1 AS event_id FROM live"
+
+
+@register("store_compacted_read", f"WITH {EVENTS}, {live_sql()} {STORED}")
+def _(spark, folder):
+    """Three frames, each flushed, then compacted: reads as the log does."""
+    store, changes = new_store(spark), event_changes(spark, folder)
+    for part in layers(changes)[::-1]:
+        store.write_frame(numbered(part, "seq").select("ordinal", "user_key", "vtype", "value"))
+        store.flush()
+    store.compact_all()
+    return read_back(store.df())
+
+
+@register("store_snapshot_read", f"WITH {EVENTS}, {live_sql('ev', 'seq <= 3000')} {STORED}")
+def _(spark, folder):
+    """A snapshot after the first frame keeps what it saw through later frames and compaction."""
+    store, parts = new_store(spark), layers(event_changes(spark, folder))[::-1]
+    frames = [numbered(p, "seq").select("ordinal", "user_key", "vtype", "value") for p in parts]
+    store.write_frame(frames[0])
+    pinned = store.snapshot()
+    for frame in frames[1:]:
+        store.write_frame(frame)
+        store.flush()
+    store.compact_all()
+    return read_back(store.df(pinned))
+
+
+@register("store_scan_page", f"WITH {EVENTS}, {live_sql()}, s AS ({STORED}) SELECT * FROM s WHERE user_key >= 'user0000000000000050' ORDER BY user_key LIMIT 20")
+def _(spark, folder):
+    store = new_store(spark)
+    store.write_frame(numbered(event_changes(spark, folder), "seq").select("ordinal", "user_key", "vtype", "value"))
+    store.flush()
+    return read_back(store.scan("user0000000000000050", 20))
+
+
+@register("stream_ingest_read", f"WITH {EVENTS}, {live_sql()} {STORED}")
+def _(spark, folder):
+    """The events table as a stream into a store."""
+    store = new_store(spark)
+    schema = read(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    changes = stream.select(workloads.bench_key(F.col("user_id")).alias("user_key"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("vtype"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    ingest(changes, store, f"events-{uuid.uuid4()}", f"{store.folder.path}/stream", "seq").awaitTermination()
+    return read_back(store.df())
