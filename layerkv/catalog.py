@@ -364,6 +364,29 @@ def _(spark, folder):
     return asked
 
 
+CRC_STEP = f"CASE WHEN c & 1 = 1 THEN xor(c >> 1, {columns.CRC32C_POLYNOMIAL}) ELSE c >> 1 END"
+
+
+@register(
+    "crc32c",
+    f"""WITH steps AS (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: {CRC_STEP}) AS c FROM (SELECT unnest(range(256)) AS n)), t AS (SELECT list(c ORDER BY n) AS t FROM steps)
+    SELECT c_custkey, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(c_name)), lambda i: ascii(c_name[i + 1])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc
+    FROM customer, t""",
+)
+def _(spark, folder):
+    return read(spark, folder, "customer").select("c_custkey", columns.crc32c(F.col("c_name").cast("binary")).alias("crc"))
+
+
+@register(
+    "internal_keys",
+    f"""WITH {EVENTS}, d AS (SELECT user_key, seq, printf('%014X%02X', seq, vtype) AS d FROM ev)
+    SELECT seq, hex('user' || user_key) || d[15:16] || d[13:14] || d[11:12] || d[9:10] || d[7:8] || d[5:6] || d[3:4] || d[1:2] AS name FROM d""",
+)
+def _(spark, folder):
+    key = F.concat(F.lit("user"), F.col("user_key").cast("string"))
+    return event_log(spark, folder).select("seq", F.hex(columns.internal_key(key, F.col("seq"), F.col("vtype"))).alias("name"))
+
+
 # Workloads
 
 

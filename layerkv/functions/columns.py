@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 HASH_MULTIPLIER, HASH_SEED = 0xC6A4A793, 0xBC9F1D34
 LN2, MOST_PROBES = 0.69314718056, 30
 WORD = 1 << 32
+CRC32C_POLYNOMIAL = 0x82F63B78
 
 
 def varint_length(value: Column) -> Column:
@@ -63,3 +64,24 @@ def probe_positions(h: Column, bits: Column, n_probes: Column) -> Column:
     """Bit numbers of a key in a filter: steps of the hash turned right by 17."""
     delta = F.shiftright(h, 17) + F.shiftleft(h % 131072, 15)
     return F.transform(F.sequence(F.lit(0), n_probes - 1), lambda i: (h + i * delta) % WORD % bits)
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C of a binary column, a byte at a time by a table made from the polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (CRC32C_POLYNOMIAL if n & 1 else 0)
+        table.append(n)
+    lookup = F.array(*[F.lit(n).cast("long") for n in table])
+    text = F.hex(data)
+    byte = lambda i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    step = lambda c, i: F.shiftright(c, 8).bitwiseXOR(lookup[c.bitwiseXOR(byte(i)).bitwiseAND(255).cast("int")])
+    places = F.when(F.length(data) > 0, F.sequence(F.lit(0), F.length(data) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(WORD - 1).cast("long"), step).bitwiseXOR(F.lit(WORD - 1).cast("long"))
+
+
+def internal_key(key: Column, seq: Column, vtype: Column) -> Column:
+    """Key and its 8-byte tag: the type's byte, then the sequence's seven from the lowest on. The tag is never a signed number."""
+    digits = F.concat(F.lpad(F.hex(seq), 14, "0"), F.lpad(F.hex(vtype), 2, "0"))
+    return F.concat(key.cast("binary"), F.unhex(F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])))

@@ -112,6 +112,10 @@ def test_columns_agree_with_the_codec(spark):
         h = codec.filter_hash(keys[row["i"]])
         step = (h >> 17 | h << 15) & 0xFFFFFFFF
         assert row["h"] == h and row["p"] == [(h + k * step) % (1 << 32) % 640 for k in range(6)]
+    rows = spark.createDataFrame([(i, k, (1 << 56) - 1 - i, i % 2) for i, k in enumerate(keys)], "i int, k binary, s long, t int").select("i", columns.crc32c(F.col("k")).alias("c"), columns.internal_key(F.col("k"), F.col("s"), F.col("t")).alias("n")).collect()
+    for row in rows:
+        key = keys[row["i"]]
+        assert row["c"] == codec.crc32c(key) and bytes(row["n"]) == codec.internal_key(key, (1 << 56) - 1 - row["i"], row["i"] % 2)
     pairs = [("abc", "abd"), ("", "x"), ("same", "same"), ("ab", "abc"), ("x", "y")]
     got = spark.createDataFrame(pairs, "a string, b string").select(columns.shared_prefix_length(F.col("a"), F.col("b")).alias("n")).collect()
     assert [r["n"] for r in got] == [2, 0, 4, 2, 0]
