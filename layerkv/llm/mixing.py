@@ -26,12 +26,14 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from layerkv.llm.common import WORD, col, others, shuffle_partitions
+from layerkv.llm.common import WORD, col, materialize, others, shuffle_partitions
 
 #: Knots (time, weight): weight relative to the source's mean over training.
 FLAT = ((0.0, 1.0), (1.0, 1.0))
 RISING = ((0.0, 0.5), (1.0, 1.5))
 FALLING = ((0.0, 1.5), (1.0, 0.5))
+#: The curves of sources in turn.
+CURVES = (FALLING, FLAT, RISING)
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 
 
@@ -118,17 +120,42 @@ def plan_mix(
     return rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_span", "_sum", "_start")
 
 
-def mix(df: DataFrame, *, text: str = "text", curves: tuple = (FALLING, FLAT, RISING), **options) -> DataFrame:
+def ordered(rows: DataFrame, curves: tuple, keep_untaken: bool = False) -> DataFrame:
+    """A row for each copy of ``plan_mix``'s rows, with ``_copy`` and ``_position``, range-sorted by training position.
+
+    Documents that are not taken are left out, or come last with nulls for both.
+    """
+    each = F.sequence(F.lit(0), F.col("copies") - 1)
+    rows = rows.withColumn("_copy", F.explode_outer(F.when(F.col("copies") > 0, each))) if keep_untaken else rows.where("copies > 0").withColumn("_copy", F.explode(each))
+    reached = (F.col("_before") + F.col("_copy") * F.col("source_size")) / F.col("target")
+    rows = rows.withColumn("_position", F.when(F.col("_copy").isNotNull(), position(reached, F.col("_curve"), curves)))
+    order = [F.col("_position").asc_nulls_last(), "_source", "_digest", "_copy"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def mixed(df: DataFrame, size: Column, curves: tuple = CURVES, **options) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` of each row, in the order in which training first meets them.
+
+    The copies are put in training order and written down with their positions and ranks (numbers that rise
+    along the order, with gaps); ``copies`` and ``taken`` count those that have a position in the training
+    time. Documents that are not taken come last.
+    """
+    doc_id = options.get("doc_id", "doc_id")
+    copies = ordered(plan_mix(df, size, curves=curves, **options), curves, keep_untaken=True).withColumn("_rank", F.monotonically_increasing_id())
+    copies = materialize(copies.select(col(doc_id), "size", "source_size", "target", "_source", "_before", "_position", "_rank"))
+    # A source's taken rows have words, so no two begin at the same word; untaken ones stay as they are.
+    placed = F.col("_position") < 1
+    row = F.when(placed, F.lit(-1)).otherwise(F.col("_rank")).alias("_row")
+    same = [col(doc_id), "size", "source_size", "target", "_source", "_before", row]
+    out = copies.groupBy(*same).agg(F.count_if(placed).cast("int").alias("copies"), F.sum(F.when(placed, F.col("size")).otherwise(0)).alias("taken"), F.min("_rank").alias("_rank"))
+    return out.repartitionByRange("_rank").sortWithinPartitions("_rank").select(col(doc_id), "size", "source_size", "target", "taken", "copies")
+
+
+def mix(df: DataFrame, *, text: str = "text", curves: tuple = CURVES, **options) -> DataFrame:
     """Every taken copy as a row of ``df``, range-sorted by training position."""
     names = [*df.columns]
     clash = {c: f"_in_{k}" for k, c in enumerate(names)}
     inner = df.select(*[col(c).alias(clash[c]) for c in names])
     options |= {"doc_id": clash[options.get("doc_id", "doc_id")], "source": clash[options.get("source", "source")]}
     rows = plan_mix(inner, word_count(F.col(clash[text])), curves=curves, **options)
-    copy = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    rows = rows.where("copies > 0").withColumn("_copy", copy)
-    reached = (F.col("_before") + F.col("_copy") * F.col("source_size")) / F.col("target")
-    rows = rows.withColumn("_position", position(reached, F.col("_curve"), curves))
-    order = ["_position", "_source", "_digest", "_copy"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*[F.col(clash[c]).alias(c) for c in names])
-
+    return ordered(rows, curves).select(*[F.col(clash[c]).alias(c) for c in names])

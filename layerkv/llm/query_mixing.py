@@ -1,4 +1,4 @@
-"""op3: all documents mixed to 150% of their words, sources weighing 3, 1, 2 in turn."""
+"""op3: all documents mixed to 150% of their words, sources weighing 3, 1, 2 and falling, flat, rising in turn; in training order."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerkv.llm.common import WORD, table
-from layerkv.llm.mixing import plan_mix, word_count
+from layerkv.llm.mixing import mixed, word_count
 
 NAME = "op3_mixing"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_n_words"))
-    return plan_mix(sized, F.col("_n_words")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixed(sized, F.col("_n_words"))
 
 
 SQL = f"""

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ from helpers import documents, folder, sentence, words, write
 from pyspark.sql import functions as F
 
 from layerkv.llm import query_mixing
-from layerkv.llm.mixing import FALLING, FLAT, RISING, mix, position, segments
+from layerkv.llm.mixing import FALLING, FLAT, RISING, mix, mixed, position, segments
 
 
 def test_query_agrees_with_sql(spark):
@@ -83,3 +84,38 @@ def test_copies_keep_their_columns(spark):
     got = out.collect()
     assert sum(len(words(g["text"])) for g in got) == pytest.approx(1.5 * 200 * 20, rel=0.02)
     assert max(collections.Counter(g["doc_id"] for g in got).values()) == 2 and got[0]["taken"] == 3
+
+
+def first_positions(rows, curves):
+    """{doc_id: training position of its first copy} of the taken rows (doc_id, size, source, target), by bisecting each curve's area."""
+    out, before = {}, collections.Counter()
+    sources = sorted({r[2] for r in rows})
+    for i, size, source, target in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        knots, share, low, high = curves[sources.index(source) % len(curves)], before[source] / target, 0.0, 1.0
+        if before[source] + size / 2 < target:
+            for _ in range(60):
+                t = (low + high) / 2
+                area = sum(w0 * x + slope * x * x / 2 for t0, length, w0, slope, _, _ in segments(knots) for x in [min(max(t - t0, 0), length)])
+                low, high = (t, high) if area < share else (low, t)
+            out[i] = low
+        before[source] += size
+    return out
+
+
+def test_query_gives_documents_in_training_order(spark, tmp_path):
+    r = random.Random(4)
+    docs = [(i, sentence(r, r.randrange(5, 40)), r.choice("aab")) for i in range(300)]
+    docs += [(i, sentence(r, 20), "c") for i in range(300, 400)]
+    path = write(spark, tmp_path, documents=documents(spark, docs))
+    source = {i: s for i, _, s in docs}
+    got = query_mixing.query(spark, path).collect()
+    orders = {}
+    for curves in ((FALLING, FLAT, RISING), (RISING, RISING, FALLING)):
+        rows = got if not orders else mixed(documents(spark, docs).select("doc_id", "source", F.size(F.split("text", " ")).alias("n")), F.col("n"), curves).collect()
+        at = first_positions([(g["doc_id"], g["size"], source[g["doc_id"]], g["target"]) for g in rows], curves)
+        taken = [g["doc_id"] for g in rows if g["copies"]]
+        assert set(at) == set(taken) and [g["copies"] > 0 for g in rows] == [True] * len(taken) + [False] * (400 - len(taken))
+        assert all(at[a] <= at[b] + 1e-9 for a, b in zip(taken, taken[1:], strict=False))
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, got))
+        orders[curves] = taken
+    assert len({tuple(o) for o in orders.values()}) == 2
