@@ -11,13 +11,14 @@ first unit of width stands for the set of shingles, and differs only where shing
 
 Texts are linked if the Jaccard similarity of their shingle sets or multisets is ``SIMILARITY`` or
 more. Signatures only propose links: equal word sequences are merged first, then texts that share a
-band of coordinates are compared exactly, by their shingles. Comparing all of a band's texts would
-take a square of their number, so they are compared with one of them: the one that shares most bands
-with others, which finds the middle of a group of near copies. Where a band's texts then still are in
-several classes (connected components, found by star contraction), those that share two more bands
-are compared with one of these. Pairs at the threshold share one of the 32 bands of 5 coordinates
-with probability 0.999997. What this can miss are links of texts that are alike to few others in a
-large group whose similarities all lie around the threshold: the README has figures.
+band of coordinates are compared exactly, by their shingles: first with one of them, the one that
+shares most bands with others, which finds the middle of a group of near copies. Where a band's texts
+then still are in several classes (connected components, found by star contraction), all pairs of
+different classes are compared, in blocks of ``BLOCK_OF`` by ``BLOCK_OF`` texts. A pair is compared in
+the first band it shares, and only if the counts of its shingles by buckets don't rule it out; a link
+that is found merges classes within the block. So every pair that shares a band is compared or already
+connected. Pairs at the threshold share one of the 32 bands of 5 coordinates with probability 0.999997.
+The comparisons that are left grow with the square of the texts of a band that aren't connected.
 
 Defined results
 - One row for each row of the input: its id and ``class_id``, the least id of its class.
@@ -31,12 +32,13 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
 from layerkv.llm.common import col, free_name, map_arrow, materialize, shuffle_partitions
@@ -48,8 +50,8 @@ COORDINATES = BANDS * ROWS
 #: Darts a text expects: all coordinates are hit with probability exp(-exp(-3)).
 DARTS = COORDINATES * (float(np.log(COORDINATES)) + 3)
 ID_BITS = 40
-#: Bands after a shared one of which two more are asked for where a band's texts fall into several classes.
-FOLLOWING = 3
+#: Texts of a band in one block, and buckets in which their shingles are counted.
+BLOCK_OF, BUCKETS = 256, 256
 U1, U2, U3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
 
@@ -228,6 +230,67 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(rows, run, schema)
 
 
+def unions(block: pa.Table, similarity: float) -> Iterator[tuple]:
+    """Links ``a, b`` that connect all alike texts of one block pair whose classes differ."""
+    ids, part = block["id"].to_pylist(), block["block"].to_numpy()
+    first = int(block["band"][0].as_py())
+    _, root = np.unique(np.array(block["root"].to_pylist()), return_inverse=True)
+    if (root == root[0]).all():
+        return
+    texts = [x.as_buffer() for x in block["shingles"]]
+    numbers = [np.frombuffer(x, np.uint32) for x in texts]
+    keys = [np.array(k, np.int64) for k in block["keys"].to_pylist()]
+    ahead = np.stack([np.stack([k[:first], k[-BANDS:][:first]]) for k in keys])
+    # Shingles of the set and of the multiset, by buckets: the sums of the lesser counts bound what two texts share.
+    counts = np.stack([np.stack([np.bincount((x[keep] >> 1) % BUCKETS, minlength=BUCKETS) for keep in (x & 1 == 0, slice(None))]) for x in numbers]).astype(np.int32)
+    sizes = counts.sum(axis=2)
+    two = part.min() != part.max()
+    for i in range(len(ids) - 1):
+        other = np.arange(i + 1, len(ids))
+        other = other[(root[other] != root[i]) & ((part[other] != part[i]) | (not two))]
+        low, high = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
+        other = other[(low >= similarity * high).any(axis=1)]
+        for x in range(2):
+            for y in range(2):
+                other = other[~(ahead[other, x] == ahead[i, y]).any(axis=1)]
+        both = np.minimum(counts[other], counts[i]).sum(axis=2)
+        other = other[(both >= similarity * (sizes[other] + sizes[i] - both)).any(axis=1)]
+        for j in other.tolist():
+            if root[j] != root[i] and alike(texts[i], texts[j], similarity):
+                yield ids[i], ids[j]
+                root[root == root[j]] = root[i]
+
+
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between the classes of each block pair of ``key, i, j, block, band, id, root, keys, shingles``."""
+    near = ["key", "i", "j"]
+    rows = rows.repartition(*near).sortWithinPartitions(*near)
+    schema = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            found = []
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                rest = more if rest is None else pa.concat_tables([rest, more])
+            if rest is None or not rest.num_rows:
+                continue
+            at = np.stack([rest[c].to_numpy() for c in near])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+            cuts += [rest.num_rows] if batch is None else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high - low > 1:
+                    found += unions(rest.slice(low, high - low), similarity)
+            rest = rest.slice(cuts[-1])
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch_type), pa.array(b, batch_type)], names=schema.names)
+
+    batch_type = to_arrow_type(schema[0].dataType)
+    return map_arrow(rows, run, schema)
+
+
 def narrow(df: DataFrame) -> DataFrame:
     """Written down in fewer files: pairs and links take a small part of the texts' room."""
     return materialize(df.repartition(max(1, shuffle_partitions(df.sparkSession) // 16)))
@@ -265,11 +328,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     """``doc_id, class_id`` of every row."""
     rows = materialize(sketches(docs, doc_id, text))
     exact = rows.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    # Each band key of a text, and a hash of it with any two of the bands that follow in its signature.
-    at = f"p div {BANDS} * {BANDS} + (p + {{}}) % {BANDS}"
-    triples = ", ".join(f"xxhash64(keys[p], keys[{at.format(x)}], keys[{at.format(y)}])" for x, y in combinations(range(1, FOLLOWING + 1), 2))
-    chain = F.expr(f"if(size(keys) > 0, transform(sequence(0, size(keys) - 1), p -> struct(keys[p] AS key, array({triples}) AS triples)), NULL)")
-    members = exact.where("id IS NOT NULL").select("id", F.explode(chain).alias("c")).select("id", "c.*")
+    band_keys = F.expr(f"if(size(keys) > 0, array_distinct(transform(sequence(0, size(keys) - 1), p -> struct(keys[p] AS key, p % {BANDS} AS band))), NULL)")
+    members = exact.where("id IS NOT NULL").select("id", F.explode(band_keys).alias("c")).select("id", "c.*")
     shared = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low < _high").select("key", "n")
     members = narrow(members.join(shared, "key"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
@@ -281,14 +341,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     links = narrow(verified(pairs, sets, similarity))
     roots = components(links)
 
-    # Where a band's texts are in several classes still: those that share two more bands with one of them.
-    rooted = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key")
-    groups = rooted.join(open_, "key").select("id", "root", F.xxhash64("id").alias("rank"), F.explode("triples").alias("triple"))
-    more = narrow(starred(groups, ["triple"]).join(pairs, ["a", "b"], "left_anti"))
-    found = narrow(verified(more, sets, similarity))
-    if not found.isEmpty():
-        roots = components(links.unionByName(found))
+    # Where a band's texts are in several classes still: all pairs of different classes.
+    rooted = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "key", "band", F.coalesce("root", "id").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key", "_n")
+    parts = F.ceil(F.col("_n") / BLOCK_OF)
+    groups = rooted.join(open_, "key").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    groups = narrow(groups.select("id", "key", "band", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    if not groups.isEmpty():
+        full = sets.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(exact.where("id IS NOT NULL").select("id", "keys").hint("merge"), "id")
+        found = narrow(compared(groups.join(full.hint("merge"), "id"), similarity))
+        if not found.isEmpty():
+            roots = components(links.unionByName(found))
 
     named = exact.select("hi", "lo", "id").join(roots, F.col("id") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "id").alias("class_id"))
     return rows.select("id", "hi", "lo").join(named.hint("merge"), ["hi", "lo"]).select(F.col("id").alias(doc_id), "class_id")

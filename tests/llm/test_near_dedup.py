@@ -6,7 +6,7 @@ import pytest
 from helpers import brute_classes, documents, folder, sentence, shingles, words, write
 from pyspark.sql import functions as F
 
-from layerkv.llm import query_near_dedup
+from layerkv.llm import near_dedup, query_near_dedup
 from layerkv.llm.near_dedup import COORDINATES, classes, components, keep_first, signatures
 from layerkv.llm.shingles import BLOCK, hashed_words, shingled
 
@@ -48,6 +48,19 @@ def test_groups_chains_and_shared_passages(spark):
     assert got_classes(spark, rows) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block_of", [256, 20])
+def test_no_link_is_lost_in_large_groups_around_the_threshold(spark, monkeypatch, block_of):
+    monkeypatch.setattr(near_dedup, "BLOCK_OF", block_of)
+    r = random.Random(21)
+    middle = sentence(r, 120)
+    rows = []
+    for _ in range(150):  # each unlike the middle, some alike to few others
+        text = edited(r, middle, r.randrange(2, 5))
+        rows += [text, edited(r, text, 1)] if r.random() < 0.4 else [text]
+    rows = list(enumerate(rows))
+    assert got_classes(spark, rows) == brute_classes(rows)
+
+
 def test_edges(spark, tmp_path):
     assert query_near_dedup.query(spark, write(spark, tmp_path, documents=documents(spark, []))).collect() == []
     r = random.Random(3)
