@@ -1,7 +1,9 @@
 """Documents to training shards: quality, near duplicates, benchmark passages, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All stages but the last keep the columns of documents. Compression,
+again as the next stage's docs. All stages but the last keep the columns of documents; the
+last adds size, checksum, shard and slot. The mixing stage's training order is the order of its files and of
+their rows, which the last stage cuts. Compression,
 signatures and alignment are beyond SQL, so the pipeline is tested against a brute-force version.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerkv.llm import decontamination, mixing, near_dedup, quality_model, sharding
-from layerkv.llm.common import checkpoint_dir, table
+from layerkv.llm.common import checkpoint_dir, free_name, table
 
 QUALITY, SHARDS = 0.3, 40
 ORACLE_SQL = None
@@ -40,10 +42,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each copy; equal texts stand side by side."""
-    order = {"text_crc32": sharding.text_crc32(), "doc_id": F.col("doc_id")}
-    out = sharding.assign_shards(docs, sharding.text_bytes(), order, SHARDS, keep=("lang", "source", "n_chars"))
-    return out.select("doc_id", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot")
+    """The shard and slot of each copy, cut along the training order, with its text.
+
+    The order is that of the mixing stage's files and of the rows in them, so ``docs`` must be read from
+    files. Only places and sizes are sorted; each file's runs of slots are sent back to the rows (a row
+    for each file and shard).
+    """
+    file, row = free_name(docs, "_file"), free_name(docs, "_place")
+    number = F.lpad(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), 10, "0")  # more digits than Spark pads to
+    at = {file: F.concat(number, F.col("_metadata.file_name")), row: F.col("_metadata.row_index")}
+    placed = sharding.assign_shards(docs, sharding.text_bytes(), at, SHARDS)
+    runs = placed.groupBy(F.col(file).alias("_run"), "shard").agg(F.min(row).alias("_low"), F.max(row).alias("_high"), F.min("slot").alias("_slot"))
+    rows = docs.withColumns(at | {"size": sharding.text_bytes(), "text_crc32": sharding.text_crc32()})
+    out = rows.join(F.broadcast(runs), (F.col(file) == F.col("_run")) & F.col(row).between(F.col("_low"), F.col("_high"))).withColumn("slot", F.col("_slot") + F.col(row) - F.col("_low"))
+    return out.select("doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [("quality", quality), ("near_dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]

@@ -1,9 +1,10 @@
 import collections
+import random
 
 import corpus_pipeline
-from helpers import brute_classes, folder, words
+from helpers import brute_classes, documents, folder, sentence, words
 
-from layerkv.llm import quality_model, query_decontamination
+from layerkv.llm import mixing, quality_model, query_decontamination
 from layerkv.llm.common import table
 
 
@@ -33,3 +34,24 @@ def test_stages_agree_with_brute_force(spark, tmp_path):
     mixed = collections.Counter(g[0] for g in got)
     out = corpus_pipeline.run(spark, path).collect()
     assert collections.Counter(r["doc_id"] for r in out) == mixed and {r["shard"] for r in out} <= set(range(corpus_pipeline.SHARDS))
+
+
+def test_shards_are_cut_along_the_training_order(spark, tmp_path):
+    r = random.Random(3)
+    docs = documents(spark, [(i, sentence(r, r.randrange(5, 40)), r.choice("abc")) for i in range(400)])
+    orders = []
+    for k, curves in enumerate((mixing.CURVES, (mixing.RISING, mixing.RISING, mixing.FALLING))):
+        mixed = mixing.mix(docs, curves=curves)
+        expected = [tuple(x) for x in mixed.collect()]
+        mixed.write.parquet(str(tmp_path / str(k)))
+        out = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / str(k))), "")
+        got = out.collect()
+        places = sorted((x["shard"], x["slot"]) for x in got)
+        sizes = collections.Counter(s for s, _ in places)
+        assert places == [(s, n) for s in sorted(sizes) for n in range(sizes[s])] and len(sizes) == corpus_pipeline.SHARDS
+        got.sort(key=lambda x: (x["shard"], x["slot"]))
+        assert [tuple(x[c] for c in docs.columns) for x in got] == expected
+        total = [sum(x["size"] for x in got if x["shard"] == s) for s in sizes]
+        assert max(total) - min(total) <= 2 * max(x["size"] for x in got)
+        orders.append([(x["doc_id"], x["shard"], x["slot"]) for x in got])
+    assert orders[0] != orders[1] and sorted(o[0] for o in orders[0]) == sorted(o[0] for o in orders[1])
