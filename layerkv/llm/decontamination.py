@@ -1,6 +1,7 @@
 """Benchmark passages in documents, by the q-gram lemma and banded alignment.
 
-Items are cut in overlapping windows. If a window of ``n`` characters occurs in a text with at most
+Items are cut in overlapping windows: long ones, which bear more edits, and short ones, so that an
+exact run of ``SURE`` characters of an item (or all of a shorter one) is always found. If a window of ``n`` characters occurs in a text with at most
 ``e`` edits, the two share at least ``n + 1 - q - q e`` q-grams, and these lie on at most ``e + 1``
 neighbouring diagonals (place in the text less place in the window). So shared q-grams are counted
 in diagonal bands twice that wide that overlap by half; a band that reaches the bound is kept and
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from layerkv.llm.common import map_arrow
 
 Q, WINDOW, STRIDE, WHOLE, EDITS = 10, 120, 60, 160, 0.08
+#: Windows beside these, for short passages.
+SHORT, STEP = 60, 20
+#: An exact run of so many characters of an item is always found: wherever it begins, it holds a short window.
+SURE = SHORT + STEP - 1
 #: Characters of items in one block, and of texts that are looked at together.
 BLOCK, TEXT_BLOCK = 1 << 22, 1 << 20
 TABLE_BITS = 22
@@ -115,6 +120,7 @@ class Index:
                     self.whole.setdefault(codes.tobytes(), []).append(k)
                 continue
             cuts = [(0, n)] if n <= WHOLE else [(a, a + WINDOW) for a in [*range(0, n - WINDOW, STRIDE), n - WINDOW]]
+            cuts += [(a, a + SHORT) for a in [*range(0, n - SHORT, STEP), n - SHORT]] if n > SHORT else []
             for a, b in cuts:
                 self.window.append(codes[a:b])
                 self.item.append(k)
@@ -147,6 +153,8 @@ class Index:
     def _find(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         codes, places = normal("\0".join(texts))
         origin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        starts = np.searchsorted(places, origin)
+        starts[-1] = len(codes) + 1
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if self.whole:
             for t, text in enumerate(texts):
@@ -181,26 +189,30 @@ class Index:
             band_key, band_count = band_key[full], band_count[full]
             for k in np.argsort(-band_count, kind="stable"):
                 w = int((band_key[k] + 1) // span)
-                self._verify(w, int(band_key[k] - w * span), codes, places, origin, best)
+                self._verify(w, int(band_key[k] - w * span), codes, places, starts, origin, best)
         return [(t, k, a, b, e) for (t, k), (e, a, b) in sorted(best.items())]
 
-    def _verify(self, w: int, band: int, codes: np.ndarray, places: np.ndarray, origin: np.ndarray, best: dict) -> None:
+    def _verify(self, w: int, band: int, codes: np.ndarray, places: np.ndarray, starts: np.ndarray, origin: np.ndarray, best: dict) -> None:
         window, most, width = self.window[w], self.most[w], int(self.width[w])
         low, high = band * width - WHOLE, (band + 2) * width - 1 - WHOLE
         a, b = max(0, low - most), min(len(codes), high + len(window) + most)
-        text = codes[a:b]
-        exact = text.tobytes().find(window.tobytes())
-        if exact >= 0 and exact % 4 == 0:
-            found = (0, exact // 4, exact // 4 + len(window))
-        else:
-            found = align(window, text, low - a - most, high - a + most, most)
-        if found is None:
-            return
-        edits, start, end = found
-        start, end = int(places[a + start]), int(places[a + end - 1]) + 1
-        t = int(np.searchsorted(origin, start, "right")) - 1
-        key, value = (t, self.item[w]), (edits, start - int(origin[t]), end - int(origin[t]))
-        best[key] = min(best.get(key, value), value)
+        # A band may reach into neighbouring texts; a passage lies in one of them.
+        for t in range(int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b - 1, "right"))):
+            x, y = max(a, int(starts[t])), min(b, int(starts[t + 1]) - 1)
+            if y - x < len(window) - most:
+                continue
+            text = codes[x:y]
+            exact = text.tobytes().find(window.tobytes())
+            if exact >= 0 and exact % 4 == 0:
+                found = (0, exact // 4, exact // 4 + len(window))
+            else:
+                found = align(window, text, low - x - most, high - x + most, most)
+            if found is None:
+                continue
+            edits, start, end = found
+            start, end = int(places[x + start]), int(places[x + end - 1]) + 1
+            key, value = (t, self.item[w]), (edits, start - int(origin[t]), end - int(origin[t]))
+            best[key] = min(best.get(key, value), value)
 
 
 @lru_cache(2)

@@ -3,7 +3,7 @@ import random
 from helpers import documents, folder, sentence, write
 
 from layerkv.llm import decontamination, query_decontamination
-from layerkv.llm.decontamination import Index, drop_contaminated, normal
+from layerkv.llm.decontamination import SURE, Index, drop_contaminated, normal
 
 ITEMS = "item_id long, text string"
 
@@ -57,6 +57,17 @@ def test_agrees_with_brute_force_on_damaged_passages():
             assert got.get((t, k)) == best
 
 
+def test_every_exact_run_of_the_stated_length_is_found():
+    r = random.Random(10)
+    items = tuple(sentence(r, n) for n in (16, 20, 45, 90))
+    index, cases = Index(items), []
+    for k, item in enumerate(items):
+        for a in range(0, len(item) - SURE + 1):
+            cases.append((k, sentence(r, 10) + " " + item[a : a + SURE] + " " + sentence(r, 10)))
+    assert {(t, k) for t, (k, _) in enumerate(cases)} == {(t, k) for t, k, _, _, e in index.find([text for _, text in cases]) if e == 0}
+    assert SURE <= 80 and index.find([sentence(r, 200)]) == []
+
+
 def test_places_are_the_given_texts(spark):
     r = random.Random(9)
     item = sentence(r, 30)
