@@ -1,17 +1,27 @@
 """The main text of web pages, by tag-path ratios.
 
 A page is read into blocks of text, each with the tag path from the root to its element. Over all
-blocks of a path, characters and punctuation marks are added up and divided by the number of blocks;
-every block gets its path's two ratios, both are smoothed along the page and multiplied, and blocks
-at or above a threshold are content. The content's characters, added up towards the root, show the
-element that holds the article: the best ``article`` or ``main`` element, or else the innermost element that has
-nearly all of them. Its blocks are the text, other than those in menus, headers, footers, sidebars,
-notices, adverts, forms, comments and hidden elements, and lists of nothing but links.
+blocks of a path, characters outside links and punctuation marks are added up and divided by the number
+of blocks; every block gets its path's two ratios, both are smoothed along the page and fused by
+multiplication. What tags, classes and ids say weighs in as a factor of the path: an element that
+announces a menu, header, footer, sidebar, notice, advert, form or comments lowers it, ``article`` and
+``main`` raise it. Paths at or above a threshold, a part of the page's mean, are content.
+
+The innermost element that holds most of the content's weight (characters times score), and outside of
+which no content has one of its paths, is the article's frame. An ``article`` element is a frame too where
+others of its path hold content: those with a good part of its weight are frames beside it. A frame's
+text is the content blocks in it, and what stands among them (a title, a list, a table cell): a block
+whose nearest ancestor with content blocks of its own lies in the frame, with no lowering element between
+and not a list of nothing but links.
 
 Defined results
-- A null or empty page has the empty text; a page of plain text is its own text.
+- A null or empty page has the empty text; a page of plain text is its own text. Repeated rows are read each for itself.
 - Character references are decoded, white space inside a block becomes one space, blocks are trimmed
   and joined by a line feed, empty ones left out. A ``br`` is white space.
+- Scripts, styles, titles and elements that are hidden or hold no text of a page are never text.
+- Several articles that each hold a good part of the content are all returned; a teaser beside one isn't.
+- Names count as whole tokens of a class or id whose parts all tell of the same kind (``cookie-notice``,
+  ``ad-box``), so ``promotion-history`` lowers nothing.
 - Unclosed and misplaced tags are closed where HTML closes them; an unclosed comment or script runs
   to the end of the page. Reading takes time in proportion to the page, however deep it is.
 - Input columns ``text`` and ``n_chars`` are left out; an empty table gives an empty result.
@@ -34,7 +44,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>", re.DOTALL
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,17 +52,19 @@ RAW = frozenset("script style textarea title noscript iframe noframes xmp".split
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
-#: Elements whose text is never the article's.
-ASIDE = frozenset("nav footer aside form script style textarea title noscript iframe noframes template svg canvas object audio video select button fieldset dialog menu head datalist".split())
-#: Elements that only a few names turn into something else than the article's frame.
-FRAME = frozenset("html body main article".split())
-#: Words in a class, id or role that mark what isn't the article.
+#: Elements that hold no text of the page.
+SILENT = frozenset("script style textarea title noscript iframe noframes template svg canvas object audio video datalist head".split())
+#: Elements, and words of a class, id or role, that lower a path.
+ASIDE = frozenset("nav footer aside form select button fieldset dialog menu".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe signup sidebar sidenav rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager masthead topbar footer comment comments "
     "disqus respond reply replies discussion share sharing social related recommended recommendations login search toolbar copyright disclaimer contentinfo complementary dialog form".split()
 )
-FRAME_MARKS = frozenset("ad advert advertisement sponsored promo comment comments reply related recommended".split())
+#: Words that say nothing beside one of those.
+PLAIN = frozenset("box block list item items inner outer wrapper wrap container area section group row col left right top bottom site page global widget button buttons link links bar message text id".split())
+#: Elements that a name of several parts never lowers, since it tells of something in them.
+FRAME = frozenset("html body main article".split())
 #: Start tags that close an open element of these names, up to the elements that shield it.
 CLOSES = {
     **{n: ("p",) for n in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()},
@@ -63,18 +75,26 @@ SHIELDS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "
 KEEP_PARAGRAPH = frozenset("table td th button object caption body html article section div li blockquote figure main".split())
 
 SMOOTH = (0.25, 0.5, 0.25)
-#: Part of the mean score of a page's blocks from which on a block is content.
+#: Factors of a path that a lowering or a raising element is on.
+LOWER, RAISE = 0.05, 3.0
+#: Part of the mean score of a page's blocks from which on a path is content.
 THRESHOLD = 0.4
-#: Part of the content's characters that an inner element must hold to be the article.
-NEARLY_ALL = 0.9
+#: Part of the content's weight that an element must hold to be the article's frame, and part of the frame's that its like holds.
+MOST, ALIKE = 0.6, 0.1
+
+
+def marks(token: str, frame: bool) -> bool:
+    """Whether a token of a class, id or role announces what isn't the article."""
+    parts = [p.lower() for p in PARTS.findall(token) if not p.isdigit()]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in PLAIN for p in parts) and not (frame and len(parts) > 1)
 
 
 class Page:
     """Elements in the order they open, and blocks of text."""
 
     def __init__(self, source: str):
-        self.name, self.parent, self.last, self.dropped, self.path = ["#"], [0], [0], [False], [0]
-        self.paths: dict[tuple[int, str], int] = {}
+        self.name, self.parent, self.last, self.dropped, self.factor, self.path = ["#"], [0], [0], [False], [1.0], [0]
+        self.paths: dict[tuple[int, str, bool], int] = {}
         self.block_element: list[int] = []
         self.block_text: list[str] = []
         self.block_links: list[int] = []
@@ -105,23 +125,28 @@ class Page:
         up = self._stack[-1]
         number = len(self.name)
         self.name.append(name), self.parent.append(up), self.last.append(number)
-        self.path.append(self.paths.setdefault((self.path[up], name), len(self.paths) + 1))
-        self.dropped.append(self.dropped[up] or self._is_aside(name, rest))
+        silent, low = self._kind(name, rest)
+        self.path.append(self.paths.setdefault((self.path[up], name, low), len(self.paths) + 1))
+        self.dropped.append(self.dropped[up] or silent)
+        raised = name in ("article", "main") and self.factor[up] == 1
+        self.factor.append(self.factor[up] * (LOWER if low else RAISE if raised else 1))
         self._stack.append(number)
         self._open[name] = self._open.get(name, 0) + 1
 
-    def _is_aside(self, name: str, rest: str) -> bool:
-        if name in ASIDE or name == "header" and not self._open.get("article") and not self._open.get("main"):
-            return True
-        if "=" not in rest and "hidden" not in rest:
-            return False
-        for key, *values in ATTRIBUTE.findall(rest):
-            key, value = key.lower(), "".join(values)
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-                return name not in FRAME
-            if key in ("class", "id", "role") and any(w.lower() in (FRAME_MARKS if name in FRAME else MARKS) for w in WORDS.findall(value)):
-                return True
-        return False
+    def _kind(self, name: str, rest: str) -> tuple[bool, bool]:
+        """Whether an element is never text, and whether it lowers its paths."""
+        low = name in ASIDE or name == "header" and not self._open.get("article") and not self._open.get("main")
+        if name in SILENT:
+            return True, low
+        if "=" in rest or "hidden" in rest:
+            for key, *values in ATTRIBUTE.findall(rest):
+                key, value = key.lower(), "".join(values)
+                if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+                    if name not in FRAME:
+                        return True, low
+                elif key in ("class", "id", "role"):
+                    low = low or any(marks(token, name in FRAME) for token in value.split())
+        return False, low
 
     def _pop_to(self, at: int) -> None:
         """Close the elements from place ``at`` of the stack on."""
@@ -184,18 +209,18 @@ class Page:
 
 
 def scores(page: Page) -> np.ndarray:
-    """Each block's fused ratio: its path's characters and marks for each block, smoothed along the page."""
+    """Each block's fused ratio: its path's characters and marks for each block, smoothed along the page, times the path's factor."""
     path = np.array([page.path[e] for e in page.block_element])
     chars = np.array([len(t) - k if k < len(t) else 0 for t, k in zip(page.block_text, page.block_links, strict=True)], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for t in page.block_text], float)
+    punctuation = np.array([len(PUNCTUATION.findall(t)) for t in page.block_text], float)
     _, path = np.unique(path, return_inverse=True)
     n = np.bincount(path)
     fused = np.ones(len(path))
-    for amount in (chars, marks):
+    for amount in (chars, punctuation):
         ratio = (np.bincount(path, amount) / n)[path]
         padded = np.concatenate([ratio[:1], ratio, ratio[-1:]])
         fused *= 1 + np.convolve(padded, SMOOTH, "valid")
-    return fused - 1
+    return (fused - 1) * np.array([page.factor[e] for e in page.block_element])
 
 
 def main_text(source: str | None) -> str:
@@ -203,27 +228,45 @@ def main_text(source: str | None) -> str:
     if not page.block_text:
         return ""
     fused = scores(page)
-    content = fused >= THRESHOLD * fused.mean()
-    held = np.zeros(len(page.name))
-    np.add.at(held, np.array(page.block_element), np.where(content, [len(t) for t in page.block_text], 0) + 1e-3 * np.array([len(t) for t in page.block_text]))
-    for e in range(len(page.name) - 1, 0, -1):
-        held[page.parent[e]] += held[e]
-    frames = [e for e in range(1, len(page.name)) if page.name[e] in ("article", "main") and held[e] > 0]
-    articles = [e for e in frames if page.name[e] == "article"]
-    if articles or frames:
-        root = max(articles or frames, key=lambda e: (held[e], -e))
-    else:
-        children: dict[int, list[int]] = {}
-        for e in range(1, len(page.name)):
-            if held[e] > 0 and page.name[e] not in INLINE:
-                children.setdefault(page.parent[e], []).append(e)
-        root = 0
-        while (inner := max(children.get(root, []), key=lambda e: held[e], default=None)) is not None and held[inner] >= NEARLY_ALL * held[root] and children.get(inner):
-            root = inner
+    _, path = np.unique([page.path[e] for e in page.block_element], return_inverse=True)
+    by_path = np.bincount(path, fused) / np.bincount(path)  # a path is content as a whole
+    content = by_path[path] >= THRESHOLD * fused.mean()
+    n = len(page.name)
+    held, own = np.zeros(n), np.zeros(n, bool)
+    first, last = [n] * n, [-1] * n  # where content of the paths that lie in an element begins and ends
+    for k in np.flatnonzero(content):
+        e = page.block_element[k]
+        held[e] += len(page.block_text[k]) * fused[k]
+        own[e if page.name[e] in FRAME or e == 0 else page.parent[e]] = True
+    where: dict[int, list[int]] = {}
+    for k in np.flatnonzero(content):
+        where.setdefault(int(path[k]), []).append(page.block_element[k])
+    for elements in where.values():
+        low, high = min(elements), max(elements)
+        for e in elements:
+            first[e], last[e] = min(low, first[e]), max(high, last[e])
+    children: dict[int, list[int]] = {}
+    for e in range(n - 1, 0, -1):
+        up = page.parent[e]
+        held[up] += held[e]
+        first[up], last[up] = min(first[up], first[e]), max(last[up], last[e])
+        if held[e] > 0 and page.name[e] not in INLINE:
+            children.setdefault(up, []).append(e)
+    root = 0
+    while page.name[root] != "article" and (inner := max(children.get(root, []), key=lambda e: (held[e], -e), default=None)) is not None:
+        alone = page.name[inner] == "article" or inner <= first[inner] and last[inner] <= page.last[inner]
+        if held[inner] < MOST * held[root] or not alone or not children.get(inner):
+            break
+        root = inner
+    alike = [e for e in range(1, n) if page.name[root] == "article" and page.path[e] == page.path[root] and held[e] >= ALIKE * held[root]]
+    inside, among = [False] * n, [False] * n  # of a frame; among content blocks in it
+    for r in {root, *alike}:
+        for e in range(r, page.last[r] + 1):
+            inside[e] = True
+            among[e] = bool(own[e]) or e != r and among[page.parent[e]] and page.factor[e] >= page.factor[page.parent[e]]
     out = []
     for e, text, links, good in zip(page.block_element, page.block_text, page.block_links, content, strict=True):
-        menu = not good and page.name[e] in ("li", "dd", "td") and links >= 0.9 * len(text)
-        if root <= e <= page.last[root] and not menu:
+        if inside[e] and (good or among[e] and not (page.name[e] in ("li", "dd", "td") and links >= 0.9 * len(text))):
             out.append(text)
     return "\n".join(out)
 
