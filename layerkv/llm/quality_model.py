@@ -1,14 +1,14 @@
 """Quality by compression: is a text cheaper to write with the vocabulary of good or of bad texts?
 
 Two zstandard dictionaries are built, from labelled good and from labelled bad texts. A text is
-compressed with both, in pieces that a dictionary can matter for, and the difference of the two
-sizes is divided by the larger one. That difference is pulled towards 0 for very short texts; a
-logistic model, fitted on labelled rows that built no dictionary, turns it into the probability of
-label 1. The smaller size for each byte of text calibrates beside it, since what compresses to
-almost nothing under either dictionary repeats itself.
+compressed with both, in pieces that a dictionary can matter for, and the difference of the two sizes is
+divided by the text's length: bytes saved for each byte. (Divided by a compressed size instead, a text
+that repeats itself would get a large quotient of two small numbers; neither dictionary saves much on it.)
+For very short texts the difference is pulled towards its mean. A logistic model of it alone, fitted on
+labelled rows that built no dictionary, gives the probability of label 1.
 
 Defined results
-- A null or empty text has difference 0 and scores as a text of which nothing is known.
+- A null or empty text has the mean difference and scores as a text of which nothing is known.
 - Without labels of both classes the score of every text is the share of label 1 (1 if no labels).
 - An input column ``score`` is left out; an empty table gives an empty result.
 - Scores depend on the text only: equal texts score equally, wherever they stand.
@@ -30,47 +30,50 @@ from pyspark.sql import functions as F
 from layerkv.llm.common import col, map_arrow, others
 from layerkv.llm.training import label_counts, sample
 
-#: At most this many labelled rows of each class are learned from, of at most so many bytes each.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16384
-DICTIONARY, PIECE, LEVEL, SAMPLES = 262_144, 1024, 3, 12_000
-#: Bytes at which the difference counts half, and the size for each byte below which a text repeats itself.
-HALF, REPETITIVE = 40.0, 0.2
+#: At most this many labelled rows of each class are learned from, and about this many bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12 << 20
+DICTIONARY, PIECE, LEVEL = 262_144, 1024, 3
+#: Bytes at which a text's own difference counts half, and what differences are multiplied by for the fit.
+HALF, SCALE = 40.0, 20.0
 
 
 @dataclass(frozen=True)
 class Model:
     bad: bytes
     good: bytes
-    weights: tuple[float, ...]
+    weights: tuple[float, float]  # of 1 and the difference
+    mean: float = 0.0  # difference of a text of which nothing is known
 
 
 class Scorer:
     """Compressors for one task."""
 
     def __init__(self, model: Model):
-        self.weights = np.array(model.weights)
-        self.compressors = []
+        self.model, self.compressors = model, []
         for content in (model.bad, model.good) if model.bad else ():
             dictionary = zstandard.ZstdCompressionDict(content)
             dictionary.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        if not text or not self.compressors:
-            return 1.0, 0.0, 1.0, 0.0
+    def saved(self, text: bytes) -> int:
+        """Bytes that the good dictionary saves over the bad one."""
         bad, good = (sum(len(c.compress(text[k : k + PIECE])) for k in range(0, len(text), PIECE)) for c in self.compressors)
-        ratio = min(bad, good) / len(text)
-        return 1.0, (bad - good) / max(bad, good) * len(text) / (len(text) + HALF), ratio, max(0.0, REPETITIVE - ratio) * 10
+        return bad - good
+
+    def difference(self, text: bytes) -> float:
+        if not text or not self.compressors:
+            return self.model.mean
+        return (self.saved(text) + HALF * self.model.mean) / (len(text) + HALF)
 
     def score(self, text: bytes) -> float:
-        z = float(np.dot(self.weights, self.features(text)))
+        z = self.model.weights[0] + self.model.weights[1] * self.difference(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def dictionary(texts: list[bytes]) -> bytes:
     """Trained on pieces of the texts taken in turn; the texts themselves where they are too few to train on."""
     longest = max(map(len, texts))
-    pieces = [t[k : k + PIECE] for k in range(0, longest, PIECE) for t in texts if k < len(t)][:SAMPLES]
+    pieces = [t[k : k + PIECE] for k in range(0, longest, PIECE) for t in texts if k < len(t)]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -97,14 +100,17 @@ def fit(rows: list[tuple[str, int]], counts: tuple[int, int]) -> Model:
     if min(map(len, by)) < 4:
         share = counts[1] / sum(counts) if sum(counts) else 1.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0, 0.0))
-    model = Model(dictionary(by[0][::2]), dictionary(by[1][::2]), (0.0,) * 4)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t) for k in (0, 1) for t in by[k][1::2]])
-    y = np.array([k for k in (0, 1) for _ in by[k][1::2]], dtype=float)
+        return Model(b"", b"", (math.log(share / (1 - share)), 0.0))
+    known = Model(dictionary(by[0][::2]), dictionary(by[1][::2]), (0.0, 0.0))
+    scorer = Scorer(known)
+    rest = [(t, k) for k in (0, 1) for t in by[k][1::2]]
+    length, saved, y = (np.array(x, float) for x in zip(*((len(t), scorer.saved(t), k) for t, k in rest), strict=True))
     share = [counts[k] / sum(counts) / max(1, (y == k).sum()) for k in (0, 1)]
-    w = logistic(x, y, np.where(y == 1, share[1], share[0]) * len(y))
-    return Model(model.bad, model.good, tuple(map(float, w)))
+    importance = np.where(y == 1, share[1], share[0]) * len(y)
+    mean = float(np.average(saved / (length + HALF), weights=importance))
+    difference = (saved + HALF * mean) / (length + HALF)
+    bias, slope = logistic(np.c_[np.ones(len(y)), difference * SCALE], y, importance)
+    return Model(known.bad, known.good, (float(bias), float(slope * SCALE)), mean)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

@@ -1,13 +1,13 @@
 """Bounded labelled samples, for operators that learn a model on the driver.
 
-A sample holds at most ``rows`` labelled rows of each class, those with the least digest of their
-id, and of these only texts of at most ``most_bytes`` (longer ones are scored but not learned from).
-So it is the same on every run and fits the driver at any size of the corpus.
+A sample holds, of each class, the labelled rows with the least digests of their ids: at most ``rows`` of
+them, and those only as long as the texts before them have fewer than ``most_bytes`` together. So it is
+the same on every run, fits the driver at any size of the corpus, and takes texts of any length alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
@@ -35,6 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes
     known = _learnable(labels, label).withColumn("_digest", digest)
     few = [known.where(F.col("_label") == k).orderBy("_digest", "doc_id").limit(rows) for k in (0, 1)]
     chosen = few[0].unionByName(few[1])  # 2 * rows rows at most
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
-    found = texts.groupBy("doc_id").agg(F.min(F.struct("text", "_label", "_digest")).alias("r")).select("r.*").collect()
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "_label", "_digest")).alias("r")).select("doc_id", "r.*")
+    before = Window.partitionBy("_label").orderBy("_digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # rows rows at most
+    found = texts.withColumn("_before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("_before") < most_bytes).collect()
     return [(r["text"], r["_label"]) for r in sorted(found, key=lambda r: (r["_digest"], r["text"]))]
