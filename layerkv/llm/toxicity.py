@@ -2,25 +2,33 @@
 
 The kernel of two words is the gap-weighted subsequence kernel: the words share a feature for every
 three letters that occur in this order in both, weighted by ``DECAY`` to the power of the letters
-spanned, normalised to 1 for equal words. Letters put in between lower it a little; punctuation in
-between is dropped beforehand, and letters set apart by blanks are joined. Spans over ``SPAN``
-letters count nothing, so a word's features follow from its length.
-
-Landmarks are word beginnings and words that set labelled toxic texts apart. A text is mapped to
-its mean kernel with each landmark (Nyström's map, whitened by the landmarks' own kernel), a linear
-support vector machine is trained on the labelled sample, and its margin is calibrated.
+spanned. Features are divided by the length of the feature vector that a word of as many different
+letters has, and the kernel is raised to ``POWER``, a whole number, so it stays positive definite.
+Letters put in between lower it a little; beforehand punctuation inside words is dropped, runs of one
+letter become one, and letters set apart by blanks are joined. Spans over ``SPAN`` letters count nothing.
+
+A sentence is a window of ``WINDOW`` neighbouring words; its kernel with another sentence is the sum
+over their pairs of words. Landmarks are words and word beginnings, half of them such as set toxic
+texts apart and half clean words that come nearest to those. Nyström's map with them (whitened by the
+landmarks' own kernel) turns sentences into vectors, on which a linear support vector machine is
+trained. Labels are of whole texts, and a toxic text need have only one toxic sentence: so each text
+stands in for the machine by its most toxic sentence, as the machine of the round before sees it
+(clean texts by those of all rounds). The greatest margin of a text's sentences, calibrated, is its
+score: clean sentences around an insult don't dilute it.
 
 Defined results
-- A null or empty text, and one without any word like a landmark, scores as texts without insults.
+- A null or empty text has the empty sentence.
 - Without labels of both classes every text scores the share of label 1 (0 if no labels).
 - An input column ``score`` is left out; an empty table gives an empty result.
-- Scores depend on the text only. Whole texts are read, in blocks of a bounded number of letters;
-  words seen before in a task are looked up, in a table that is emptied when it is full.
+- Scores depend on the text only; repeated rows score equally. Whole texts are read, in blocks of a
+  bounded number of letters; words seen before in a task are looked up, in a table that is emptied
+  when it is full. A sentence may not reach over the ends of a block, which is cut at white space.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +40,12 @@ from layerkv.llm.common import col, map_arrow, others
 from layerkv.llm.quality_model import logistic
 from layerkv.llm.training import label_counts, sample
 
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16384
-LANDMARKS, PREFIXES = 64, (4, 5, 6, 7)
-DECAY, SPAN, SHARPEN, LEAST_KERNEL = 0.8, 7, 2, 0.6
-#: Words added to a text's length, so that one word in a short text isn't taken for a habit.
-EXTRA_WORDS = 20
-BLOCK, KNOWN = 1 << 21, 1 << 20
+#: At most this many labelled rows of each class are learned from, and about this many bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12 << 20
+LANDMARKS, PREFIXES = 32, (4, 5, 6, 7)
+DECAY, SPAN, POWER = 0.8, 7, 3
+WINDOW, TOP, ALONE, ROUNDS, PENALTY = 4, 3, 0.3, 5, 3e-4
+BLOCK, KNOWN, WORDS = 1 << 20, 1 << 20, 8192
 TABLE_BITS = 18
 START = 1  # the letter before each word
 
@@ -68,26 +76,19 @@ def features(letters: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarr
         yield word[ok], triple(letters[ok], letters[ok + a], letters[ok + b]), WEIGHT[b]
 
 
-def norms(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Length of each word's feature vector; equal subsequences of a word add up first."""
-    parts = [(w, h, np.full(len(w), x)) for w, h, x in features(letters, starts)]
-    if not parts:
-        return np.ones(len(starts) - 1)
-    word, h, x = (np.concatenate(p) for p in zip(*parts, strict=True))
-    order = np.lexsort((h, word))
-    word, h, x = word[order], h[order], x[order]
-    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (h[1:] != h[:-1])])) if len(word) else np.zeros(0, int)
-    sums = np.add.reduceat(x, first) if len(first) else x
-    return np.sqrt(np.maximum(np.bincount(word[first], sums**2, len(starts) - 1), 1e-12))
+def sizes(starts: np.ndarray) -> np.ndarray:
+    """Length of the feature vector of words of as many different letters; 1 for words without features."""
+    letters = np.diff(starts)
+    return np.maximum(np.sqrt(sum((b - 1) * np.maximum(letters - b, 0) * WEIGHT[b] ** 2 for b in WEIGHT)), 1e-9)
 
 
 class Kernel:
-    """The sharpened kernel of any words with a fixed list of landmarks."""
+    """The kernel of any words with a fixed list of landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.n = len(landmarks)
         letters, starts = spelled(landmarks)
-        size = norms(letters, starts)
+        size = sizes(starts)
         entries: dict[int, dict[int, float]] = {}
         for w, h, x in features(letters, starts):
             for i, k in zip(w.tolist(), h.tolist(), strict=True):
@@ -101,52 +102,36 @@ class Kernel:
         self.maybe = np.zeros(1 << TABLE_BITS, bool)
         self.maybe[(self.hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
 
-    def rows(self, letters: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word number, landmark and kernel, where the kernel is ``LEAST_KERNEL`` or more."""
-        word, mark, value = [], [], []
-        for w, h, x in features(letters, starts):
+    def of(self, letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row for each word, a column for each landmark."""
+        key, value = [], []
+        for w, h, x in features(letters, starts) if len(self.hashes) else ():
             few = np.flatnonzero(self.maybe[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)])
             at = np.searchsorted(self.hashes, h[few])
             hit = self.hashes[np.minimum(at, len(self.hashes) - 1)] == h[few]
             few, at = few[hit], at[hit]
             count = self.offset[at + 1] - self.offset[at]
             entry = np.repeat(self.offset[at] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else count, count) + np.arange(count.sum())
-            word.append(np.repeat(w[few], count)), mark.append(self.mark[entry]), value.append(self.value[entry] * x)
-        if not word:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        key = np.concatenate(word) * self.n + np.concatenate(mark)
-        keys, inverse = np.unique(key, return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(value), len(keys)) if len(keys) else np.zeros(0)
-        w, m = keys // self.n, keys % self.n
-        # Without merging equal subsequences a norm is at most the true one: a bound that most words fail.
-        length = np.diff(starts)
-        least = np.sqrt(sum(len([1 for a, c in PAIRS if c == b]) * np.maximum(length - b, 0) * WEIGHT[b] ** 2 for b in WEIGHT))
-        able = sums >= LEAST_KERNEL * least[w]
-        w, m, sums = w[able], m[able], sums[able]
-        if not len(w):
-            return w, m, sums
-        which, inverse = np.unique(w, return_inverse=True)
-        pick = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in which])
-        size = norms(letters[pick], np.concatenate([[0], np.cumsum(length[which])]))
-        value = np.minimum(sums / size[inverse], 1.0)
-        strong = value >= LEAST_KERNEL
-        return w[strong], m[strong], value[strong] ** SHARPEN
+            key.append(np.repeat(w[few], count) * self.n + self.mark[entry]), value.append(self.value[entry] * x)
+        n = len(starts) - 1
+        sums = np.bincount(np.concatenate(key), np.concatenate(value), n * self.n) if key else np.zeros(n * self.n)
+        return (sums.reshape(n, self.n) / sizes(starts)[:, None]) ** POWER
 
 
 #: 0: dropped, 1: parts words, 2: a letter or digit.
 _CLASS = np.full(0x110000, 2, np.uint8)
 for _c in range(0x3000):
     _CLASS[_c] = 1 if _c == 0 or chr(_c).isspace() else 2 if chr(_c).isalnum() else 0
-POWER = 0x9E3779B97F4A7C15 | 1
+ODD = 0x9E3779B97F4A7C15 | 1
 
 
 class Reader:
     """Words of many texts at once, as letters and hashes."""
 
     def __init__(self):
-        inverse = pow(POWER, -1, 1 << 64)
+        inverse = pow(ODD, -1, 1 << 64)
         n = BLOCK + 2
-        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(POWER))]), dtype=np.uint64)
+        self.power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(ODD))]), dtype=np.uint64)
         self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(inverse))]), dtype=np.uint64)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +142,7 @@ class Reader:
         codes = np.frombuffer("\0".join(texts).encode("utf-32-le", "replace"), np.uint32)
         kind = _CLASS[codes]
         used = np.flatnonzero(kind)
+        used = used[np.concatenate([[True], (codes[used][1:] != codes[used][:-1]) | (kind[used][1:] != 2)])] if len(used) else used
         codes, kind = codes[used], kind[used]
         letter = kind == 2
         before = np.concatenate([[False], letter[:-1]])
@@ -190,113 +176,74 @@ def pieces(text: str) -> Iterator[str]:
         at = end
 
 
-class Embedder:
-    """Mean kernel of texts with the landmarks."""
+def clean_words(letters: np.ndarray, starts: np.ndarray) -> list[str]:
+    text = letters.astype("<u4").tobytes().decode("utf-32-le", "replace")
+    return [text[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
-    def __init__(self, landmarks: list[str]):
-        self.kernel, self.reader = Kernel(landmarks), Reader()
-        self.known = np.zeros(0, np.uint64)  # words already compared, sorted
-        self.like = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))  # of these, the ones like a landmark
 
-    def compare(self, codes: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> None:
-        """Learn the words that are new."""
-        new, first = np.unique(hashes, return_index=True)
-        if len(self.known) > KNOWN:
-            self.known, self.like = np.zeros(0, np.uint64), (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
-            fresh = self.known[at] != new
-            new, first = new[fresh], first[fresh]
-        if not len(new):
-            return
-        length = starts[first + 1] - starts[first]
-        lead = np.concatenate([[0], np.cumsum(length + 1)]).astype(np.int64)
-        letters = np.full(lead[-1], START, np.uint32)
-        inside = np.repeat(starts[first] - lead[:-1] - 1, length + 1) + np.arange(lead[-1])
-        body = np.ones(lead[-1], bool)
-        body[lead[:-1]] = False
-        letters[body] = codes[inside[body]]
-        word, mark, value = self.kernel.rows(letters, lead)
-        keys = np.concatenate([self.like[0], new[word]])
-        order = np.argsort(keys, kind="stable")
-        self.like = (keys[order], np.concatenate([self.like[1], mark])[order], np.concatenate([self.like[2], value])[order])
-        self.known = np.sort(np.concatenate([self.known, new]), kind="stable")
-
-    def embed(self, texts: list[str]) -> np.ndarray:
-        """A row for each text."""
-        sums, n_words = np.zeros((len(texts), self.kernel.n)), np.zeros(len(texts))
-        parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t.lower())]
-        at = 0
-        while at < len(parts):
-            size, end = len(parts[at][1]), at + 1
-            while end < len(parts) and size + len(parts[end][1]) + 1 < BLOCK:
-                size += len(parts[end][1]) + 1
-                end += 1
-            codes, starts, hashes, owner = self.reader.words([p for _, p in parts[at:end]])
-            owner = np.array([i for i, _ in parts[at:end]])[owner]
-            if len(hashes):
-                self.compare(codes, starts, hashes)
-                n_words += np.bincount(owner, minlength=len(texts))
-                low, high = np.searchsorted(self.like[0], hashes), np.searchsorted(self.like[0], hashes, "right")
-                some = np.flatnonzero(high > low)
-                count = high[some] - low[some]
-                entry = np.repeat(low[some] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(some) else count, count) + np.arange(count.sum())
-                np.add.at(sums, (np.repeat(owner[some], count), self.like[1][entry]), self.like[2][entry])
-            at = end
-        return sums / (n_words + EXTRA_WORDS)[:, None]
-
-
-def choose_landmarks(texts: list[str], toxic: list[int], most: int = LANDMARKS) -> list[str]:
-    """Word beginnings and words that occur in many toxic texts for the others they occur in.
-
-    Taken one by one; each halves the weight of the toxic texts it occurs in, so that later ones
-    stand for texts that earlier ones don't.
-    """
-    reader, number, names, found = Reader(), {}, [], []
-    for t in texts:  # each text as sorted numbers of its words and their beginnings
-        seen: set[str] = set()
+def as_numbers(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All words, and each text as the numbers of its words."""
+    reader, number, out = Reader(), {}, []
+    for t in texts:
+        found = []
         for p in pieces(t.lower()):
             codes, starts, _, _ = reader.words([p])
-            letters = codes.astype("<u4").tobytes().decode("utf-32-le", "replace")
-            seen |= {letters[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b - a >= PREFIXES[0]}
-        seen |= {w[:k] for w in seen for k in PREFIXES if len(w) > k}
-        for w in seen:
-            if w not in number:
-                number[w] = len(names)
-                names.append(w)
-        found.append(np.sort(np.fromiter((number[w] for w in seen), np.int32, len(seen))))
-    y = np.array(toxic, bool)
-    n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
-    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(f for f, t in zip(found, y, strict=True) if t == k)]), minlength=len(names)) for k in (False, True)]
+            found += [number.setdefault(w, len(number)) for w in clean_words(codes, starts)]
+        out.append(np.array(found, np.int64))
+    return list(number), out
+
+
+def choose_landmarks(vocabulary: list[str], texts: list[np.ndarray], toxic: np.ndarray, most: int | None = None) -> list[str]:
+    """Words and beginnings that set toxic texts apart, and as many clean words like them.
+
+    The former are taken one by one, by log odds; each halves the weight of the toxic texts it occurs in,
+    so that later ones stand for texts that earlier ones don't. The latter are taken by how often they
+    occur in clean texts and how near they come to one of the former.
+    """
+    number: dict[str, int] = {}
+    parts = [[number.setdefault(x, len(number)) for x in (w, *(w[:k] for k in PREFIXES if len(w) > k))] if len(w) >= PREFIXES[0] else [] for w in vocabulary]
+    names = list(number)
+    found = [np.unique(np.array([x for w in np.unique(t).tolist() for x in parts[w]], np.int64)) for t in texts]
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(f for f, y in zip(found, toxic, strict=True) if y == k)]), minlength=len(names)) for k in (False, True)]
     odds = np.log((count[1] + 0.5) / (n1 + 1)) - np.log((count[0] + 0.5) / (n0 + 1))
     good = (count[1] >= max(2, n1 // 200)) & (odds > 1)
     places: dict[int, list[int]] = {int(w): [] for w in np.flatnonzero(good)}
-    for i in np.flatnonzero(y):
+    for i in np.flatnonzero(toxic):
         for w in found[i][good[found[i]]].tolist():
             places[w].append(int(i))
     rows = {w: np.array(r) for w, r in places.items()}
     weight, chosen = np.ones(len(texts)), []
-    while rows and len(chosen) < most:
+    while rows and len(chosen) < (most or LANDMARKS):
         best = max(rows, key=lambda w: (round(float(odds[w] * weight[rows[w]].sum()), 9), len(names[w]), names[w]))
         if odds[best] * weight[rows[best]].sum() < 0.5:
             break
         chosen.append(names[best])
         weight[rows.pop(best)] *= 0.5
-    return chosen
+    if not chosen:
+        return []
+    seen = np.bincount(np.concatenate([np.unique(t) for t, y in zip(texts, toxic, strict=True) if not y]), minlength=len(vocabulary))
+    usual = [w for w in np.flatnonzero(seen > 0).tolist() if len(vocabulary[w]) >= PREFIXES[0] and odds[number[vocabulary[w]]] < 0]
+    kernel, near = Kernel(chosen), []
+    for k in range(0, len(usual), WORDS):
+        near.append(kernel.of(*spelled([vocabulary[w] for w in usual[k : k + WORDS]])).max(axis=1))
+    rank = np.concatenate([np.zeros(0), *near]) * np.log1p(seen[usual]) if usual else np.zeros(0)
+    best = sorted(range(len(usual)), key=lambda i: (-round(float(rank[i]), 9), vocabulary[usual[i]]))
+    return chosen + [vocabulary[usual[i]] for i in best[: len(chosen)]]
 
 
 @dataclass(frozen=True)
 class Model:
     landmarks: tuple[str, ...]
-    weights: tuple[float, ...]  # of the mean kernels, after whitening, machine and calibration
+    weights: tuple[float, ...]  # of a word's kernels: map, whitening, machine and calibration in one
     bias: float
 
 
-def machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
+def machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float | None = None, steps: int = 50) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by Newton's method on its support vectors; the last weight is the bias."""
     x = np.c_[x, np.ones(len(x))]
     sign, w = 2 * y - 1, np.zeros(x.shape[1])
-    keep = penalty * len(x) * np.eye(x.shape[1])
+    keep = (PENALTY if penalty is None else penalty) * importance.sum() * np.eye(x.shape[1])
     keep[-1, -1] = 1e-8
     for _ in range(steps):
         support = sign * (x @ w) < 1
@@ -308,32 +255,80 @@ def machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: float
     return w
 
 
+def sentences(words: int) -> np.ndarray:
+    """Places of the first words of a text's sentences."""
+    return np.arange(0, words, WINDOW)
+
+
+def most_toxic(values: np.ndarray) -> np.ndarray:
+    """The ``TOP`` sentences of the greatest sums of word values, and their sums."""
+    sums = np.add.reduceat(values, sentences(len(values))) if len(values) else np.zeros(1)
+    return np.argsort(-sums, kind="stable")[:TOP]
+
+
+def margin_of(values: np.ndarray) -> float:
+    sums = np.add.reduceat(values, sentences(len(values))) if len(values) else np.zeros(1)
+    return float(np.sort(sums)[::-1][:TOP].sum())
+
+
+def padded(word: str) -> str:
+    """The word with a letter put in, at a place and of a kind that follow from the word."""
+    h = zlib.crc32(word.encode("utf-8", "replace"))
+    at = 1 + h % max(1, len(word) - 1)
+    return word[:at] + "qxjkzv"[h // 64 % 6] + word[at:]
+
+
+def sentence_machine(kernels: np.ndarray, gapped: np.ndarray, whiten: np.ndarray, texts: list[np.ndarray], y: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weight of each landmark's kernel and bias, trained on the most toxic sentences of each text by rounds."""
+    mean = lambda t: kernels[t].mean(axis=0) if len(t) else np.zeros(kernels.shape[1])
+    a = machine(np.array([mean(t) for t in texts]) @ whiten * WINDOW, y, importance)
+    clean: list[dict[tuple, np.ndarray]] = [{} for _ in texts]
+    for _ in range(ROUNDS):
+        values = kernels @ (whiten @ a[:-1])
+        x, target, weight = [], [], []
+        for i, t in enumerate(texts):
+            chosen = most_toxic(values[t])
+            sums = np.array([kernels[t[k * WINDOW : (k + 1) * WINDOW]].sum(axis=0) for k in chosen])
+            rows = {tuple(sorted(chosen.tolist())): sums.sum(axis=0), (int(chosen[0]),): sums[0]}
+            if y[i] == 0:
+                rows = clean[i] = clean[i] | rows
+            else:
+                rows[-1,] = gapped[t[chosen[0] * WINDOW : (chosen[0] + 1) * WINDOW]].sum(axis=0)
+            x += rows.values()
+            target += [y[i]] * len(rows)
+            share = [ALONE if len(k) == 1 < len(chosen) else 1.0 for k in rows]
+            weight += [importance[i] * k / sum(share) for k in share]
+        a = machine(np.array(x) @ whiten, np.array(target), np.array(weight))
+    return whiten @ a[:-1], float(a[-1])
+
+
 def fit(rows: list[tuple[str, int]], counts: tuple[int, int]) -> Model:
     share = counts[1] / sum(counts) if sum(counts) else 0.0
     prior = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
-    texts, toxic = [t or "" for t, _ in rows], [y for _, y in rows]
-    landmarks = choose_landmarks(texts, toxic) if 0 < sum(toxic) < len(toxic) else []
+    y = np.array([k for _, k in rows], float)
+    vocabulary, texts = as_numbers([t or "" for t, _ in rows])
+    landmarks = choose_landmarks(vocabulary, texts, y == 1) if 0 < y.sum() < len(y) else []
     if not landmarks:
         return Model((), (), prior)
-    embedder = Embedder(landmarks)
-    letters, starts = spelled(landmarks)
-    w, m, v = embedder.kernel.rows(letters, starts)
-    own = np.zeros((len(landmarks), len(landmarks)))
-    own[w, m] = v
-    value, vector = np.linalg.eigh((own + own.T) / 2)
+    kernel = Kernel(landmarks)
+    value, vector = np.linalg.eigh(kernel.of(*spelled(landmarks)))
     whiten = vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T
-    x = embedder.embed(texts) @ whiten * 100
-    y = np.array(toxic, float)
+    kernels = np.concatenate([kernel.of(*spelled(vocabulary[k : k + WORDS])).astype(np.float32) for k in range(0, len(vocabulary), WORDS)])
+    gapped = np.zeros_like(kernels)
+    used = np.unique(np.concatenate([t for t, k in zip(texts, y, strict=True) if k]))
+    for k in range(0, len(used), WORDS):
+        gapped[used[k : k + WORDS]] = kernel.of(*spelled([padded(vocabulary[w]) if len(vocabulary[w]) >= PREFIXES[0] else vocabulary[w] for w in used[k : k + WORDS]]))
     importance = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     margin = np.zeros(len(y))
     half = np.arange(len(y)) % 2 == 0
     for part in (half, ~half):  # margins for the calibration come from a machine that hasn't seen the text
         if len(set(y[~part])) == 2:
-            a = machine(x[~part], y[~part], importance[~part])
-            margin[part] = x[part] @ a[:-1] + a[-1]
-    a = machine(x, y, importance)
+            w, bias = sentence_machine(kernels, gapped, whiten, [t for t, k in zip(texts, part, strict=True) if not k], y[~part], importance[~part])
+            values = kernels @ w
+            margin[part] = [margin_of(values[t]) + bias for t, k in zip(texts, part, strict=True) if k]
+    w, bias = sentence_machine(kernels, gapped, whiten, texts, y, importance)
     scale, shift = logistic(np.c_[margin, np.ones(len(y))], y, importance, ridge=1e-3)
-    return Model(tuple(landmarks), tuple(map(float, 100 * scale * (whiten @ a[:-1]))), float(scale * a[-1] + shift))
+    return Model(tuple(landmarks), tuple(map(float, scale * w)), float(scale * bias + shift))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -341,13 +336,64 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 class Scorer:
+    """Scores for one task; words already met are looked up."""
+
     def __init__(self, model: Model):
-        self.model, self.embedder = model, Embedder(list(model.landmarks)) if model.landmarks else None
+        self.model = model
+        self.kernel, self.reader, self.weights = Kernel(list(model.landmarks)), Reader(), np.array(model.weights)
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def learn(self, codes: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> None:
+        """Values of the words that are new."""
+        new, first = np.unique(hashes, return_index=True)
+        if len(self.known) > KNOWN:
+            self.known, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
+            fresh = self.known[at] != new
+            new, first = new[fresh], first[fresh]
+        if not len(new):
+            return
+        found = [self._values(codes, starts, first[k : k + WORDS]) for k in range(0, len(first), WORDS)]
+        keys, values = np.concatenate([self.known, new]), np.concatenate([self.values, *found])
+        order = np.argsort(keys, kind="stable")
+        self.known, self.values = keys[order], values[order]
+
+    def _values(self, codes: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+        length = starts[which + 1] - starts[which]
+        lead = np.concatenate([[0], np.cumsum(length + 1)]).astype(np.int64)
+        letters = np.full(lead[-1], START, np.uint32)
+        inside = np.repeat(starts[which] - lead[:-1] - 1, length + 1) + np.arange(lead[-1])
+        body = np.ones(lead[-1], bool)
+        body[lead[:-1]] = False
+        letters[body] = codes[inside[body]]
+        return self.kernel.of(letters, lead) @ self.weights
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.full(len(texts), self.model.bias)
-        if self.embedder:
-            z = z + self.embedder.embed(texts) @ np.array(self.model.weights)
+        if self.model.landmarks:
+            parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t.lower())]
+            tops: dict[int, np.ndarray] = {}
+            at = 0
+            while at < len(parts):
+                size, end = len(parts[at][1]), at + 1
+                while end < len(parts) and size + len(parts[end][1]) + 1 < BLOCK:
+                    size += len(parts[end][1]) + 1
+                    end += 1
+                codes, starts, hashes, owner = self.reader.words([p for _, p in parts[at:end]])
+                if len(hashes):
+                    self.learn(codes, starts, hashes)
+                    values = self.values[np.searchsorted(self.known, hashes)]
+                    cuts = np.searchsorted(owner, np.arange(end - at + 1))
+                    for k, (i, _) in enumerate(parts[at:end]):
+                        own = values[cuts[k] : cuts[k + 1]]
+                        if len(own):
+                            sums = np.add.reduceat(own, sentences(len(own)))
+                            sums = np.concatenate([tops[i], sums]) if i in tops else sums
+                            tops[i] = np.sort(sums)[::-1][:TOP]
+                at = end
+            for i, sums in tops.items():
+                z[i] += sums.sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
