@@ -1,9 +1,10 @@
 """Spans of texts that look like secrets: fixed patterns, and strings a tokenizer finds inefficient.
 
 The patterns are assignments to telling names, access key ids and long hexadecimal runs. Beyond
-them, a run of letters, digits and ``+/_-`` is random if a byte-pair vocabulary made from text needs
-many tokens for it, that is if it has few characters for each token; before the test, digests of the
-usual lengths, UUIDs, numbers, parts of addresses and runs with one kind of character are excluded.
+them, a run of letters, digits and symbols that keys are made of is random if a byte-pair vocabulary made
+from text needs many tokens for it, that is if it has few characters for each token. Symbols at its ends
+are left off first. Before the test, digests of the usual lengths, UUIDs and what is put together of short
+parts (paths, dates, names in pieces) are excluded; words, names and numbers aren't, the vocabulary knows them.
 
 Defined results
 - A null text is empty; an empty text has no spans. Repeated rows are scanned each for itself.
@@ -34,20 +35,23 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KINDS = ("assign", "access", "hex", "random")
 #: Least length of a pattern's secret; the assignment's is that of its value.
 LEAST = {"assign": 12, "access": 18, "hex": 16, "random": 16}
-#: A run with fewer characters for each token than this is random.
-MOST_CHARS_PER_TOKEN = 2.1
+#: A run with fewer characters for each token than this is random. Chosen on generated strings alone: nine in
+#: ten strings of 24 random lower-case letters are below it, and nearly all of mixed letters and digits.
+MOST_CHARS_PER_TOKEN = 1.8
 PIECE = 256
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 NAMES = ("passw", "secret", "token", "api")  # one of them is in every assignment
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_!$%^*~#-]{16,}")
+SYMBOLS = "+/_!$%^*~#-"  # of a run, not letters or digits
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-SOLID = re.compile(r"\S+")
+PART = re.compile(r"[/_-]+")
+LEAST_PART = 6
 
 
 @lru_cache(2)
@@ -72,14 +76,9 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def known(run: str) -> bool:
-    """Digests, identifiers and plain words or numbers, which are no secrets however they tokenize."""
-    kinds = any(c.islower() for c in run) + any(c.isupper() for c in run) + any(c.isdigit() for c in run)
-    return kinds < 2 or run[0].isupper() and run[1:].islower() or len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run)) or bool(UUID.fullmatch(run))
-
-
-def is_address(part: str) -> bool:
-    """Whether a part between white space is a link or a mail address."""
-    return "://" in part or part.startswith("www.") or "." in part.partition("@")[2]
+    """Digests, identifiers of a fixed form and runs of short parts, which are no secrets however they tokenize."""
+    parts = PART.split(run)
+    return len(run) < LEAST_PART * len(parts) or len(run) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(run)) or bool(UUID.fullmatch(run))
 
 
 class Cover:
@@ -96,13 +95,12 @@ class Cover:
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]], tokens: tiktoken.Encoding) -> list[tuple[int, int, str]]:
-    found, addresses, patterns = [], None, Cover([(a, b) for a, b, _ in base])
+    found, patterns = [], Cover([(a, b) for a, b, _ in base])
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if patterns.holds(start, end) or known(m[0]):
-            continue
-        addresses = addresses or Cover([a.span() for a in SOLID.finditer(text) if is_address(a[0])])
-        if not addresses.holds(start, end) and chars_per_token(m[0], tokens) < MOST_CHARS_PER_TOKEN:
+        run = m[0].strip(SYMBOLS)
+        start = m.start() + m[0].find(run)
+        end = start + len(run)
+        if len(run) >= LEAST["random"] and not patterns.holds(start, end) and not known(run) and chars_per_token(run, tokens) < MOST_CHARS_PER_TOKEN:
             found.append((start, end, "random"))
     return found
 
