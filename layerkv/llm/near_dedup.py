@@ -24,8 +24,9 @@ Defined results
 - One row for each row of the input: its id and ``class_id``, the least id of its class.
 - Words are runs without ASCII white space. Texts of fewer than five words have one shingle. Null and
   empty texts have none; they form one class, as texts of equal words do.
-- Rows without an id get the class of the texts of equal words, or a null class; rows that share an id
-  are one document to the classes. An empty table gives an empty result.
+- Rows are told apart by a number of their own, so null and repeated ids change no class: rows of
+  one id whose texts differ can be of two classes. A class without any id has the null class id. An empty
+  table gives an empty result; further columns are ignored.
 - No bucket, class or list of partners is capped; none is gathered in one place.
 """
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
-from layerkv.llm.common import col, free_name, map_arrow, materialize, shuffle_partitions
+from layerkv.llm.common import col, dropped, map_arrow, materialize, written
 from layerkv.llm.shingles import BASE, blocks, mix, powers, shingled
 
 SIMILARITY = 0.8
@@ -143,23 +144,38 @@ def fingerprints(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``id, hi, lo, keys``: the fingerprint of each text's words, and its band keys.
+def shingle_bytes(who: np.ndarray, what: np.ndarray, count: np.ndarray, n: int) -> list[bytes]:
+    """Each text's shingles as sorted 32-bit numbers, even for a shingle's first occurrence in its text, odd for later ones."""
+    which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    who, what = np.repeat(who, count), np.repeat(what, count)
+    small = (mix(what * U1 + which.astype(np.uint64) * U2) >> np.uint64(32)).astype(np.uint32)
+    small = (small & np.uint32(0xFFFFFFFE)) | (which > 0).astype(np.uint32)
+    key = np.sort((who.astype(np.uint64) << np.uint64(32)) | small)
+    cut = np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+    small = key.astype(np.uint32)
+    return [small[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
 
-    There are ``BANDS`` keys, by band, or twice as many where shingles repeat, the second half for the set.
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``id, text`` and other columns, with ``hi, lo, keys, shingles`` in place of the text.
+
+    ``hi`` and ``lo`` are the fingerprint of the text's words, ``keys`` its band keys: ``BANDS`` of them, by
+    band, or twice as many where shingles repeat, the second half for the set.
     """
-    schema = docs.select(F.col(doc_id).alias("id")).schema.add("hi", "long").add("lo", "long").add("keys", ArrayType(LongType()))
+    rest = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*rest).schema.add("hi", "long").add("lo", "long").add("keys", ArrayType(LongType())).add("shingles", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.num_rows
-            hi, lo, keys = np.zeros(size, np.uint64), np.zeros(size, np.uint64), [np.zeros(0, np.int64)] * size
-            for at, words, owner in blocks(batch.column(1)):
+            hi, lo, keys, sets = np.zeros(size, np.uint64), np.zeros(size, np.uint64), [np.zeros(0, np.int64)] * size, [b""] * size
+            for at, words, owner in blocks(batch.columns[-1]):
                 n = int(owner[-1]) + 1 if len(owner) else 0
                 if not n:
                     continue
                 hi[at : at + n], lo[at : at + n] = fingerprints(words, owner, n)
                 who, what, count = counted(*shingled(words, owner))
+                sets[at : at + n] = shingle_bytes(who, what, count, n)
                 heavy = np.zeros(n, bool)
                 heavy[who[count > 1]] = True
                 full = bands(signatures(who, what, count.astype(float), n)).view(np.int64)
@@ -173,36 +189,10 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     keys[at + i] = np.concatenate([full[i], units[i]]) if i in units else full[i]
             lengths = np.cumsum([0, *map(len, keys)])
             values = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64()))], names=schema.names
-            )
-
-    return map_arrow(docs.select(doc_id, text), run, schema)
+            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(values, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), lists, pa.array(sets, pa.binary())], names=schema.names)
 
-
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``id, shingles`` of ``id, text``: sorted 32-bit numbers, even for a shingle's first occurrence in its text, odd for later ones."""
-    schema = docs.select("id").schema.add("shingles", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [b""] * batch.num_rows
-            for at, words, owner in blocks(batch.column(1)):
-                if not len(words):
-                    continue
-                who, what, count = counted(*shingled(words, owner))
-                which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                who, what = np.repeat(who, count), np.repeat(what, count)
-                small = (mix(what * U1 + which.astype(np.uint64) * U2) >> np.uint64(32)).astype(np.uint32)
-                small = (small & np.uint32(0xFFFFFFFE)) | (which > 0).astype(np.uint32)
-                key = np.sort((who.astype(np.uint64) << np.uint64(32)) | small)
-                who, small = (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
-                cut = np.searchsorted(who, np.arange(int(owner[-1]) + 2))
-                for i in np.unique(who).tolist():
-                    out[at + i] = small[cut[i] : cut[i + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
-
-    return map_arrow(docs, run, schema)
+    return map_arrow(docs.select(*rest, "text"), run, schema)
 
 
 def alike(a: bytes, b: bytes, similarity: float) -> bool:
@@ -292,8 +282,8 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """Written down in fewer files: pairs and links take a small part of the texts' room."""
-    return materialize(df.repartition(max(1, shuffle_partitions(df.sparkSession) // 16)))
+    """Written down in files of about the advised size, as many as the bytes ask for: pairs and links take a small part of the texts' room."""
+    return materialize(df.hint("rebalance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -324,16 +314,17 @@ def starred(members: DataFrame, key: list[str]) -> DataFrame:
     return pairs.select(F.least("_one", "id").alias("a"), F.greatest("_one", "id").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id`` of every row."""
-    rows = materialize(sketches(docs, doc_id, text))
-    exact = rows.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+def rooted(rows: DataFrame, similarity: float) -> DataFrame:
+    """``hi, lo, root, least`` of each sequence of words: its class, named by a number of one of the class's rows, and its least id.
+
+    ``rows`` has ``node, id, hi, lo, keys, shingles``; texts of equal words go on as one, by their least node.
+    """
+    exact = rows.groupBy("hi", "lo").agg(F.min("node").alias("id"), F.min("id").alias("least"), F.first("keys").alias("keys"))
     band_keys = F.expr(f"if(size(keys) > 0, array_distinct(transform(sequence(0, size(keys) - 1), p -> struct(keys[p] AS key, p % {BANDS} AS band))), NULL)")
-    members = exact.where("id IS NOT NULL").select("id", F.explode(band_keys).alias("c")).select("id", "c.*")
+    members = exact.select("id", F.explode(band_keys).alias("c")).select("id", "c.*")
     shared = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low < _high").select("key", "n")
     members = narrow(members.join(shared, "key"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    sets = materialize(shingle_sets(texts.join(members.select("id").distinct().hint("merge"), "id", "left_semi")))
+    sets = materialize(rows.select(F.col("node").alias("id"), "shingles").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
 
     # All texts of a band with the one that shares the most bands with others.
     popular = members.groupBy("id").agg(F.sum("n").alias("rank"))
@@ -342,25 +333,54 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     roots = components(links)
 
     # Where a band's texts are in several classes still: all pairs of different classes.
-    rooted = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "key", "band", F.coalesce("root", "id").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key", "_n")
+    open_ = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "key", "band", F.coalesce("root", "id").alias("root"))
+    several = open_.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key", "_n")
     parts = F.ceil(F.col("_n") / BLOCK_OF)
-    groups = rooted.join(open_, "key").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    groups = open_.join(several, "key").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     groups = narrow(groups.select("id", "key", "band", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     if not groups.isEmpty():
-        full = sets.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(exact.where("id IS NOT NULL").select("id", "keys").hint("merge"), "id")
+        full = sets.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(exact.select("id", "keys").hint("merge"), "id")
         found = narrow(compared(groups.join(full.hint("merge"), "id"), similarity))
         if not found.isEmpty():
             roots = components(links.unionByName(found))
+    return exact.select("hi", "lo", "id", "least").join(roots, F.col("id") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "id").alias("root"), "least")
 
-    named = exact.select("hi", "lo", "id").join(roots, F.col("id") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "id").alias("class_id"))
-    return rows.select("id", "hi", "lo").join(named.hint("merge"), ["hi", "lo"]).select(F.col("id").alias(doc_id), "class_id")
+
+def grouped(docs: DataFrame, similarity: float) -> DataFrame:
+    """``docs`` (``id, text`` and others) with ``root`` in place of the text, written down."""
+    rows, folder = written(sketches(docs).withColumn("node", F.monotonically_increasing_id()))
+    kept = [c for c in docs.columns if c != "text"]
+    named = rooted(rows, similarity).select("hi", "lo", "root")
+    out = materialize(rows.select(*kept, "hi", "lo").join(named.hint("merge"), ["hi", "lo"]).select(*kept, "root"))
+    dropped(docs.sparkSession, folder)
+    return out
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id`` of every row."""
+    rows = grouped(docs.select(col(doc_id).alias("id"), col(text).alias("text")), similarity)
+    named = rows.groupBy("root").agg(F.min("id").alias("class_id"))
+    return rows.join(named.hint("merge"), "root").select(F.col("id").alias(doc_id), "class_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class, the document of the least id."""
-    first = classes(docs.select(doc_id, text), doc_id, text, similarity).where(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
-    once = Window.partitionBy(doc_id).orderBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    place = free_name(docs, "_n")
-    kept = docs.join(first.hint("merge"), doc_id, "left_semi").withColumn(place, F.row_number().over(once)).where(F.col(place) == 1).drop(place)
-    return kept.select(*map(col, docs.columns))
+    """The rows of ``docs`` without near duplicates: of each class one row, that of the least id.
+
+    Null ids come last and texts of one id by a hash, so every class keeps a row, whatever its ids are. Of
+    repeated rows (of equal id and text; a null text equals the empty one) the least by all columns stays.
+    """
+    plain = F.coalesce(col(text), F.lit(""))
+    first, second, void = F.xxhash64(plain), F.xxhash64(F.lit(1), plain), col(doc_id).isNull()
+    rows = grouped(docs.select(col(doc_id).alias("id"), first.alias("h"), second.alias("k"), col(text).alias("text")), similarity)
+    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("_void"), F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("k").alias("_k"))).alias("r")).select("r.*")
+    repeated = rows.groupBy("id", "h", "k").count().where("count > 1").select("id", "h", "k")
+    chosen = materialize(chosen.join(repeated.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("k") == F.col("_k")), "left").select("_void", "_id", "_h", "_k", F.col("h").isNotNull().alias("_many")))
+    mine = lambda c: col(doc_id).eqNullSafe(c["_id"]) & (first == c["_h"]) & (second == c["_k"])
+    once = chosen.where("NOT _many")
+    out = docs.join(once.hint("merge"), mine(once), "left_semi")
+    many = chosen.where("_many")
+    if not many.isEmpty():  # in the task that reads them, repeats become one row before they are shuffled
+        again = docs.join(many.hint("merge"), mine(many), "left_semi")
+        least = again.groupBy(void.alias("_void"), col(doc_id).alias("_id"), first.alias("_h"), second.alias("_k")).agg(F.min(F.struct(*map(col, docs.columns))).alias("r"))
+        out = out.unionByName(least.select("r.*"))
+    return out.select(*map(col, docs.columns))

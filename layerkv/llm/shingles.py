@@ -8,7 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+#: Bytes and texts that are looked at together.
+BLOCK, TEXTS = 1 << 19, 1024
 WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -53,15 +54,15 @@ def hashed_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, word hashes, text of each word counted from the first) of runs of texts.
 
-    A run has ``BLOCK`` bytes at most; a longer text is a run of its own and is hashed in parts that
-    are cut at white space. Nulls are empty texts.
+    A run has ``BLOCK`` bytes and ``TEXTS`` texts at most; a longer text is a run of its own and is hashed in
+    parts that are cut at white space. Nulls are empty texts.
     """
     column = column.cast(pa.large_string())
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1)
+        end = min(at + TEXTS, max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK, "right")) - 1))
         low, high = int(bounds[at]), int(bounds[end])
         if high - low <= BLOCK:
             yield at, *hashed_words(data[low:high], bounds[at : end + 1] - low)

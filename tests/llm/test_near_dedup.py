@@ -72,6 +72,32 @@ def test_edges(spark, tmp_path):
     assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 8] and "hi" in kept.columns
 
 
+def test_every_class_keeps_a_row_whatever_its_ids(spark):
+    r = random.Random(17)
+    a, b, c, d = (sentence(r, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (1, c), (1, d), (None, a), (2, edited(r, a, 1)), (None, edited(r, b, 1)), (None, None), (5, c), (1, c), (1, c)]
+    docs = documents(spark, rows)
+    kept = collections.Counter((x["doc_id"], x["text"]) for x in keep_first(docs).collect())
+    assert {(2, rows[5][1]), (1, c), (1, d)} < set(kept) and set(kept.values()) == {1} and len(kept) == 5
+    assert (None, b) in kept or (None, rows[6][1]) in kept
+    assert (None, None) in kept and [x.count for x in (keep_first(docs.limit(0)),)][0]() == 0
+    unlike = documents(spark, [(None, sentence(r, 40)) for _ in range(30)] + [(7, sentence(r, 40)) for _ in range(30)])
+    assert keep_first(unlike).count() == 60
+    named = {x["text"]: x["class_id"] for x in classes(docs.select("doc_id", "text")).join(docs, "doc_id").collect()}
+    assert named[c] == 1
+
+
+def test_groups_around_the_threshold(spark):
+    r = random.Random(5)
+    rows = []
+    for _ in range(12):
+        text = sentence(r, r.randrange(60, 161))
+        share = r.uniform(0.008, 0.025)
+        rows += [" ".join(sentence(r, 1) if r.random() < share else w for w in text.split()) for _ in range(60)]
+    rows = list(enumerate(rows))
+    assert got_classes(spark, rows) == brute_classes(rows)
+
+
 def test_agreement_is_the_weighted_similarity():
     r = np.random.default_rng(1)
     n = 60
