@@ -1,7 +1,7 @@
 """Mix sources to target weights along a curriculum.
 
 Each source gets a target number of words. Its documents stand in a fixed order (by a digest of
-their id), repeated for as many epochs as the target needs; a copy is taken while its middle word
+their id and size), repeated for as many epochs as the target needs; a copy is taken while its middle word
 lies before the target. A source's weight may change over training time ``t`` in [0, 1): its curve,
 given by knots and linear between them, integrates to the cumulative demand for the source, and the
 training position of a copy is where that demand reaches the words before the copy.
@@ -14,7 +14,8 @@ Defined results
 - A null text has no words; a document without words is never taken. A null source is a source of
   its own, last in order.
 - A source without words has target 0. An empty table gives an empty result.
-- Rows of equal id are ordered by their size, and are otherwise interchangeable.
+- Rows of equal id are told apart by their size, and are otherwise interchangeable; rows without an id
+  are spread by their sizes. Texts of any length count as their words, read whole.
 - ``mix`` keeps all columns of the input, whatever their names. ``plan_mix`` adds columns of its own; an input column of such a
   name is left out.
 """
@@ -104,7 +105,7 @@ def plan_mix(
 ) -> DataFrame:
     """The rows of ``df`` with size, source_size, target, copies, taken and _before (words of the source before it)."""
     ranges = shuffle_partitions(df.sparkSession)
-    digest = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.coalesce(col(doc_id).cast("string"), F.lit("")), F.lit(":"), size.cast("string")).cast("binary"))
     span = F.coalesce(F.floor(F.conv(F.substring(digest, 1, 4), 16, 10).cast("long") * ranges / 65536), F.lit(0)).cast("int")
     own = "size source_size target copies taken _source _digest _span _sum _start _before _curve _words".split()
     rows = df.select(*map(col, others(df, *own)), size.cast("long").alias("size"), source_key(source).alias("_source"), digest.alias("_digest"), span.alias("_span"))
@@ -134,11 +135,12 @@ def ordered(rows: DataFrame, curves: tuple, keep_untaken: bool = False) -> DataF
 
 
 def mixed(df: DataFrame, size: Column, curves: tuple = CURVES, **options) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` of each row, in the order in which training first meets them.
+    """``doc_id, size, source_size, target, taken, copies, position, last_position`` of each row, in the order in which training first meets them.
 
     The copies are put in training order and written down with their positions and ranks (numbers that rise
     along the order, with gaps); ``copies`` and ``taken`` count those that have a position in the training
-    time. Documents that are not taken come last.
+    time, and the two positions are those of the first and the last of them (null if there is none).
+    Documents that are not taken come last.
     """
     doc_id = options.get("doc_id", "doc_id")
     copies = ordered(plan_mix(df, size, curves=curves, **options), curves, keep_untaken=True).withColumn("_rank", F.monotonically_increasing_id())
@@ -147,8 +149,11 @@ def mixed(df: DataFrame, size: Column, curves: tuple = CURVES, **options) -> Dat
     placed = F.col("_position") < 1
     row = F.when(placed, F.lit(-1)).otherwise(F.col("_rank")).alias("_row")
     same = [col(doc_id), "size", "source_size", "target", "_source", "_before", row]
-    out = copies.groupBy(*same).agg(F.count_if(placed).cast("int").alias("copies"), F.sum(F.when(placed, F.col("size")).otherwise(0)).alias("taken"), F.min("_rank").alias("_rank"))
-    return out.repartitionByRange("_rank").sortWithinPartitions("_rank").select(col(doc_id), "size", "source_size", "target", "taken", "copies")
+    out = copies.groupBy(*same).agg(
+        F.count_if(placed).cast("int").alias("copies"), F.sum(F.when(placed, F.col("size")).otherwise(0)).alias("taken"), F.min("_rank").alias("_rank"),
+        F.min(F.when(placed, F.col("_position"))).alias("position"), F.max(F.when(placed, F.col("_position"))).alias("last_position"),
+    )
+    return out.repartitionByRange("_rank").sortWithinPartitions("_rank").select(col(doc_id), "size", "source_size", "target", "taken", "copies", "position", "last_position")
 
 
 def mix(df: DataFrame, *, text: str = "text", curves: tuple = CURVES, **options) -> DataFrame:

@@ -7,8 +7,8 @@ import pytest
 from helpers import documents, folder, sentence, words, write
 from pyspark.sql import functions as F
 
-from layerkv.llm import query_mixing
-from layerkv.llm.mixing import FALLING, FLAT, RISING, mix, mixed, position, segments
+from layerkv.llm import mixing, query_mixing
+from layerkv.llm.mixing import FALLING, FLAT, RISING, mix, mixed, plan_mix, position, segments
 
 
 def test_query_agrees_with_sql(spark):
@@ -90,7 +90,7 @@ def first_positions(rows, curves):
     """{doc_id: training position of its first copy} of the taken rows (doc_id, size, source, target), by bisecting each curve's area."""
     out, before = {}, collections.Counter()
     sources = sorted({r[2] for r in rows})
-    for i, size, source, target in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+    for i, size, source, target in sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}:{r[1]}".encode()).hexdigest()):
         knots, share, low, high = curves[sources.index(source) % len(curves)], before[source] / target, 0.0, 1.0
         if before[source] + size / 2 < target:
             for _ in range(60):
@@ -116,6 +116,45 @@ def test_query_gives_documents_in_training_order(spark, tmp_path):
         taken = [g["doc_id"] for g in rows if g["copies"]]
         assert set(at) == set(taken) and [g["copies"] > 0 for g in rows] == [True] * len(taken) + [False] * (400 - len(taken))
         assert all(at[a] <= at[b] + 1e-9 for a, b in zip(taken, taken[1:], strict=False))
-        assert sorted(map(tuple, rows)) == sorted(map(tuple, got))
+        assert sorted(tuple(g)[:6] for g in rows) == sorted(tuple(g)[:6] for g in got)
+        for g in rows:
+            assert (g["position"] is None) == (g["copies"] == 0) and (g["position"] is None or g["position"] == pytest.approx(at[g["doc_id"]], abs=1e-9))
+            assert g["copies"] < 2 or g["last_position"] > g["position"]
         orders[curves] = taken
     assert len({tuple(o) for o in orders.values()}) == 2
+
+
+def test_sources_follow_their_curves_and_copies_lie_apart(spark):
+    r = random.Random(14)
+    docs = documents(spark, [(i, sentence(r, r.randrange(5, 30)), "abc"[i % 3]) for i in range(1500)])
+    rows = [(g["source"], g["doc_id"], len(words(g["text"]))) for g in mix(docs).collect()]
+    total = collections.Counter()
+    for s, _, n in rows:
+        total[s] += n
+    all_words, at, done = sum(total.values()), 0.0, collections.Counter()
+    ends = {0.25: {}, 0.5: {}, 0.75: {}}
+    area = lambda knots, t: sum(w0 * x + slope * x * x / 2 for t0, length, w0, slope, _, _ in segments(knots) for x in [min(max(t - t0, 0), length)])
+    for end in ends:  # words of all sources by time t, from their curves
+        ends[end] = {s: total[s] * area(c, end) for s, c in zip("abc", (FALLING, FLAT, RISING), strict=True)}
+    checks = [(sum(e.values()), e) for e in ends.values()]
+    for s, _, n in rows:
+        at += n
+        done[s] += n
+        while checks and at >= checks[0][0]:
+            assert all(done[k] == pytest.approx(v, abs=0.01 * all_words) for k, v in checks.pop(0)[1].items())
+    assert not checks
+    place = collections.defaultdict(list)
+    for k, (_, i, _) in enumerate(rows):
+        place[i].append(k)
+    apart = [b - a for p in place.values() for a, b in zip(p, p[1:], strict=False)]
+    assert apart and min(apart) > len(rows) / 10
+
+
+def test_rows_without_ids_and_long_texts(spark):
+    r = random.Random(15)
+    docs = documents(spark, [(None, sentence(r, k), "a") for k in range(1, 200)] + [(1, "word " * 200_000, "b"), (2, None, None), (2, "", "b")])
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
+    rows = plan_mix(sized, F.col("n")).collect()
+    assert len(rows) == 202 and sum(g["size"] for g in rows if g["doc_id"] is None) == sum(range(1, 200))
+    assert len({g["_digest"] for g in rows if g["doc_id"] is None}) == 199
+    assert mixed(sized.limit(0), F.col("n")).count() == 0
