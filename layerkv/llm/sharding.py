@@ -11,7 +11,7 @@ Defined results
 - A row belongs to the shard that holds its middle byte, so shards differ by one row's size at
   most; a row larger than a shard leaves neighbouring shards empty.
 - Equal order keys are taken in any order; such rows are interchangeable if the order columns
-  determine the size.
+  determine the size. Any number of them is spread over tasks, by the place where they are read.
 - An empty table gives an empty result. Other columns are dropped unless named in ``keep``;
   one named like a column of the result is dropped in any case.
 """
@@ -41,7 +41,9 @@ def assign_shards(
     )
     parts = shuffle_partitions(df.sparkSession)
     # The order is cut at sampled bounds. Writing it down makes every later read see the same cut.
-    rows = materialize(rows.repartitionByRange(parts, *[col(n) for n in names]).withColumn(part, F.spark_partition_id()))
+    tie = free_name(rows, "_tie")
+    rows = rows.withColumn(tie, F.monotonically_increasing_id())
+    rows = materialize(rows.repartitionByRange(parts, *[col(n) for n in names], tie).withColumn(part, F.spark_partition_id()).drop(tie))
 
     totals = rows.groupBy(part).agg(F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
@@ -72,5 +74,9 @@ def text_bytes(text: str = "text") -> Column:
     return F.coalesce(F.octet_length(col(text)), F.lit(0)).cast("long") + 16
 
 
+def text_md5(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(col(text), F.lit("")).cast("binary")))
+
+
 def text_crc32(text: str = "text") -> Column:
     return F.crc32(F.coalesce(col(text), F.lit("")).cast("binary"))
