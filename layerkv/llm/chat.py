@@ -12,7 +12,10 @@ Defined results
 - Turns of equal number are ordered by role and text; repeated rows stay, as turns of their own.
 - A conversation without participants other than ``system`` has no perspective and no rows.
 - Markers of the template inside a text are broken up (``<|`` becomes ``< |``), so a text can't
-  start a turn.
+  start a turn; line breaks in a role are spaces in the header.
+- Texts of any length are rendered whole; a segment holds one turn.
+- Rows without a conversation id, or of one id, are one conversation of any length: its turns are summed in blocks of
+  ``BLOCK`` turn numbers. Turns of one number (or none) are one block.
 - An empty table gives an empty result; further columns are ignored.
 """
 
@@ -27,6 +30,11 @@ SYSTEM, UNKNOWN = "system", "unknown"
 BLOCK = 1024
 
 
+def name(role: Column) -> Column:
+    """A role as it stands in a header: in one line."""
+    return F.regexp_replace(plain(role), r"[\r\n]+", " ")
+
+
 def plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
 
@@ -47,7 +55,7 @@ def perspectives(turns: DataFrame) -> DataFrame:
     seen = rows.join(voices, "_conv")
     own, system = F.col("speaker") == F.col("assistant"), F.col("speaker") == SYSTEM
     role = F.when(system, SYSTEM).when(own, "assistant").otherwise("user")
-    head = F.concat(F.lit(OPEN), role, F.when(system | own, F.lit("")).otherwise(F.concat(F.lit(" name="), plain(F.col("speaker")))), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), role, F.when(system | own, F.lit("")).otherwise(F.concat(F.lit(" name="), name(F.col("speaker")))), F.lit("\n"))
     seen = seen.withColumns({"role": role, "_head": F.length(head), "segment": F.concat(head, F.col("_content"), F.lit(CLOSE + "\n"))})
     # Blocks of turns are summed on their own; a block's order is the turns', so sums of blocks add up.
     seen = seen.withColumn("_block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1 << 62))).withColumn("_length", F.length("segment").cast("long"))

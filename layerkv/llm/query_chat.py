@@ -23,7 +23,7 @@ WITH rows_ AS (
 ), seen AS (
   SELECT *, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = assistant THEN 'assistant' ELSE 'user' END AS role FROM rows_ JOIN voices USING (conv)
 ), headed AS (
-  SELECT *, '{OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || replace(speaker, '<|', '< |') ELSE '' END || chr(10) AS head FROM seen
+  SELECT *, '{OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(replace(speaker, '<|', '< |'), '[\\r\\n]+', ' ', 'g') ELSE '' END || chr(10) AS head FROM seen
 ), cut AS (SELECT *, head || content || '{CLOSE}' || chr(10) AS segment FROM headed
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS turn_no, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS until
