@@ -11,10 +11,13 @@ Defined results
 - Case is ignored and a run of white space is one space; places are code points of the text as given.
 - The budget is ``EDITS`` of the window's length, or less where the lemma would allow 0 shared
   q-grams. An item shorter than ``Q`` is found only as the whole of a text.
-- A null or empty text, or item, is never found. Items of equal text are found each for itself.
-- Each pair of document and item gives one row, with its alignment of least edits, the first of these.
-- Texts are read whole. Items are sent in blocks of ``BLOCK`` characters, one after another, so any
-  number of them can be searched for; each block is compared with all texts.
+- A null or empty text, or item, is never found. Items of equal text are found each for itself, whatever
+  their ids, which may be null, repeated or of any type; repeated documents too. Empty tables give an empty
+  result, and names of other columns don't matter.
+- Each pair of document and item gives one row, with its alignment of least edits, the first of these. An
+  item of more than ``BLOCK`` characters is searched for in pieces that overlap, each an item for itself.
+- Texts are read whole. Items are sent in blocks of about ``BLOCK`` characters, one after another, so any
+  number of them can be searched for; each block is compared with all texts. Equal texts are sent once.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from layerkv.llm.common import map_arrow
+from layerkv.llm.common import col, map_arrow, materialize
 
 Q, WINDOW, STRIDE, WHOLE, EDITS = 10, 120, 60, 160, 0.08
 #: Windows beside these, for short passages.
 SHORT, STEP = 60, 20
 #: An exact run of so many characters of an item is always found: wherever it begins, it holds a short window.
 SURE = SHORT + STEP - 1
-#: Characters of items in one block, and of texts that are looked at together.
-BLOCK, TEXT_BLOCK = 1 << 22, 1 << 20
+#: Characters of items in one block, of one part of an item, of its overlap with the next, and of texts that are looked at together.
+BLOCK, PART, OVERLAP, TEXT_BLOCK = 1 << 22, 1 << 16, 1 << 10, 1 << 19
 TABLE_BITS = 22
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = 32
@@ -220,40 +224,64 @@ def index(items: tuple[str, ...]) -> Index:
     return Index(items)
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
-    """(item id, text) of all items with a text, a block at a time; blocks are told apart by a hash of the text."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
-    chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n = -(-chars // BLOCK) or 1
-    for k in range(n):
-        yield [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).orderBy("i", "t").collect()]
+def parts(items: DataFrame, text: str = "text") -> DataFrame:
+    """``_key, _part, _group`` of each distinct text of ``items`` in parts of ``PART`` characters, with single spaces; a group comes up to ``BLOCK``."""
+    plain = F.regexp_replace(col(text), r"(?U)\s+", " ")
+    rows = items.select(plain.alias("t")).where("t IS NOT NULL").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(F.length("t") - 1 - OVERLAP, F.lit(0)), F.lit(PART - OVERLAP))
+    return rows.select(F.md5(F.col("t").cast("binary")).alias("_key"), F.explode(starts).alias("_at"), "t").select("_key", F.substr("t", F.col("_at") + 1, F.lit(PART)).alias("_part"), F.floor(F.col("_at") / BLOCK).alias("_group"))
+
+
+def part_blocks(items: DataFrame, text: str = "text") -> Iterator[list[tuple[str, str]]]:
+    """(key, part) of all parts, in blocks that come up to about ``BLOCK`` characters.
+
+    Groups of parts are dealt by a hash to buckets, of which there are more than parts; buckets are packed by
+    their sizes, a row for each bucket.
+    """
+    rows = materialize(parts(items, text))
+    n = 2 * (rows.agg(F.coalesce(F.sum(F.length("_part")), F.lit(0))).first()[0] // PART) + 1
+    bucket = F.pmod(F.xxhash64("_key", "_group"), F.lit(n))
+    sizes = {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.sum(F.length("_part")).alias("n")).collect()}
+    block, size = [], 0
+    for b in [*sorted(sizes), None]:
+        if block and (b is None or size + sizes[b] > BLOCK):
+            yield [(r["_key"], r["_part"]) for r in rows.where(bucket.isin(block)).orderBy("_key", "_part").collect()]
+            block, size = [], 0
+        if b is not None:
+            block.append(b)
+            size += sizes[b]
 
 
 def findings(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``doc_id, item_id, start, end, edits`` for each document that holds a passage of an item."""
-    schema = docs.select(doc_id).schema
-    schema = schema.add(items.schema[item_id].name, items.schema[item_id].dataType).add("start", "long").add("end", "long").add("edits", "integer")
+    one = docs.select(col(doc_id).alias("d"), col(text).alias("t"))
+    schema = one.select("d").schema.add("_key", "string").add("start", "long").add("end", "long").add("edits", "integer")
     out = None
-    for block in item_blocks(items, item_id):
-        found = map_arrow(docs.select(doc_id, text), _finder(docs, block, doc_id, text, schema), schema)
+    for block in part_blocks(items):
+        found = map_arrow(one, _finder(docs, block, schema), schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], schema)
+    ids = items.select(col(item_id).alias("_item"), F.md5(F.regexp_replace("text", r"(?U)\s+", " ").cast("binary")).alias("_key")).where("_key IS NOT NULL")
+    return out.join(ids, "_key").select(F.col("d").alias(doc_id), F.col("_item").alias(item_id), "start", "end", "edits")
 
 
-def _finder(docs: DataFrame, block: list[tuple], doc_id: str, text: str, schema):
+def _finder(docs: DataFrame, block: list[tuple], schema: StructType):
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    kind = pa.int64() if schema[1].dataType.simpleString() == "bigint" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = zip(*shared.value, strict=True) if shared.value else ((), ())
+        keys, texts = zip(*shared.value, strict=True)
         search = index(texts)
         for batch in batches:
-            rows = search.find([t.as_py() or "" for t in batch.column(text)])
-            if rows:
-                t, k, a, b, e = zip(*rows, strict=True)
+            rows = search.find([t.as_py() or "" for t in batch.columns[1]])
+            best: dict[tuple, tuple] = {}
+            for t, k, a, b, e in rows:  # parts of one item
+                best[t, keys[k]] = min(best.get((t, keys[k]), (e, a, b)), (e, a, b))
+            if best:
+                t, k = zip(*best, strict=True)
+                e, a, b = zip(*best.values(), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(doc_id).take(pa.array(t, pa.int64())), pa.array([ids[i] for i in k], kind), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int32())],
-                    names=schema.names,
+                    [batch.columns[0].take(pa.array(t, pa.int64())), pa.array(k, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int32())], names=schema.names
                 )
 
     return run
@@ -261,15 +289,15 @@ def _finder(docs: DataFrame, block: list[tuple], doc_id: str, text: str, schema)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a passage of any item, all columns kept."""
-    out = docs
-    for block in item_blocks(items):
+    out, at = docs, docs.columns.index(text)
+    for block in part_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(tuple(t for _, t in block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = index(shared.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in search.find([t.as_py() or "" for t in batch.column(text)])]] = False
+                keep[[r[0] for r in search.find([t.as_py() or "" for t in batch.columns[at]])]] = False
                 yield batch.filter(pa.array(keep))
 
         out = map_arrow(out, run, docs.schema)

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 from helpers import documents, folder, sentence, write
@@ -99,3 +100,24 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK", 700)
     got = decontamination.findings(docs, spark.createDataFrame(items, ITEMS)).collect()
     assert sorted((x["doc_id"], x["item_id"]) for x in got) == [(k, k) for k in range(30)]
+
+
+def test_items_of_any_id_type_and_length(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = random.Random(31)
+    item, long = sentence(r, 40), sentence(r, 3000)
+    docs = documents(spark, [(1, sentence(r, 30) + " " + item + " " + sentence(r, 20)), (2, long[9000:9200]), (3, sentence(r, 50)), (4, long[4000:4090])])
+    items = spark.createDataFrame([(7, item), (8, item), (None, item), (9, long), (10, None), (11, "")], "item_id int, text string")
+    expected = {(1, 7), (1, 8), (1, None), (2, 9), (4, 9)}
+    for part, block in ((1 << 16, 1 << 22), (4096, 8192), (4096, 1)):
+        monkeypatch.setattr(decontamination, "PART", part)
+        monkeypatch.setattr(decontamination, "BLOCK", block)
+        for kind in ("int", "string", "decimal(9,1)", "date"):
+            typed = items.withColumn("item_id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("item_id")) if kind == "date" else F.col("item_id").cast(kind))
+            rows = decontamination.findings(docs, typed).collect()
+            back = (lambda x: (x - datetime.date(2024, 1, 1)).days) if kind == "date" else (lambda x: int(float(x)))
+            assert {(x["doc_id"], None if x["item_id"] is None else back(x["item_id"])) for x in rows} == expected and (len(rows) == 5 or block < len(long))
+        assert sorted(x["doc_id"] for x in decontamination.drop_contaminated(docs, items).collect()) == [3]
+    assert decontamination.findings(docs, items.limit(0)).count() == 0 and decontamination.drop_contaminated(docs, items.limit(0)).count() == 4
+    assert decontamination.findings(docs.limit(0), items).count() == 0
