@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "random": 16}
 #: A run with fewer characters for each token than this is random. Chosen on generated strings alone: nine in
 #: ten strings of 24 random lower-case letters are below it, and nearly all of mixed letters and digits.
-MOST_CHARS_PER_TOKEN = 1.8
+MOST_CHARS_PER_TOKEN = 1.9
 PIECE = 256
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
