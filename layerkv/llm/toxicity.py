@@ -44,7 +44,9 @@ from layerkv.llm.training import label_counts, sample
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12 << 20
 LANDMARKS, PREFIXES = 32, (4, 5, 6, 7)
 DECAY, SPAN, POWER = 0.8, 7, 3
-WINDOW, TOP, ALONE, ROUNDS, PENALTY = 4, 3, 0.3, 5, 3e-4
+WINDOW, TOP, ROUNDS, PENALTY = 4, 3, 5, 3e-4
+#: What a text's most toxic sentence alone, and the same with a letter put in each of its words, count beside the sum of its sentences.
+ALONE, PADDED = 0.3, 1.0
 BLOCK, KNOWN, WORDS = 1 << 20, 1 << 20, 8192
 TABLE_BITS = 18
 START = 1  # the letter before each word
@@ -296,7 +298,7 @@ def sentence_machine(kernels: np.ndarray, gapped: np.ndarray, whiten: np.ndarray
                 rows[-1,] = gapped[t[chosen[0] * WINDOW : (chosen[0] + 1) * WINDOW]].sum(axis=0)
             x += rows.values()
             target += [y[i]] * len(rows)
-            share = [ALONE if len(k) == 1 < len(chosen) else 1.0 for k in rows]
+            share = [PADDED if k == (-1,) else ALONE if len(k) == 1 < len(chosen) else 1.0 for k in rows]
             weight += [importance[i] * k / sum(share) for k in share]
         a = machine(np.array(x) @ whiten, np.array(target), np.array(weight))
     return whiten @ a[:-1], float(a[-1])
