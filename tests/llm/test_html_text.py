@@ -3,9 +3,10 @@ import random
 import re
 import time
 
+import numpy as np
 from helpers import folder, sentence, write
 
-from layerkv.llm import query_html_text
+from layerkv.llm import html_text, query_html_text
 from layerkv.llm.html_text import main_text
 
 
@@ -32,6 +33,34 @@ def test_the_article_is_found_with_and_without_its_tag():
     assert main_text(PAGE % ("<article>" + BODY + "</article>" + teaser)) == TEXT
 
 
+def test_names_of_several_parts_lower_nothing_and_all_articles_count():
+    text = " ".join(["Some sentence, with words."] * 12)
+    inner = f'<div class="promotion-history"><p>{text}</p><p>Short.</p></div><div class="search-results-explained"><p>{text}</p></div>'
+    page = PAGE % f'<article><h1>One</h1><p>{text}</p></article><div class="ad-box"><p>Buy this now, it is cheap.</p></div><article><h1>Two</h1><p>{text}</p>{inner}</article>'
+    assert main_text(page) == "\n".join(["One", text, "Two", text, text, "Short.", text])
+    parts = f'<div id="text"><div><p>{text}</p><p>{text}</p><p>{text}</p></div><div><p>A last word, alone.</p></div></div>'
+    assert main_text(PAGE % parts) == "\n".join([text] * 3 + ["A last word, alone."])
+
+
+def stripped(page):
+    """Without the tags and names that tell what is what."""
+    return re.sub(r"<(/?)(?:nav|article|footer|h1)>", r"<\1div>", page).replace(' class="ad"', "")
+
+
+def test_ratios_find_the_article_without_tags_and_names(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()] if folder() else []
+    whole = [main_text(p) for p in pages]
+    right = sum(main_text(stripped(p)) == t for p, t in zip(pages, whole, strict=True))
+    assert right >= 0.95 * len(pages)
+    menu = "".join(f"<div>Go to part {k}</div>" for k in range(12))
+    story = "<div>" + "".join(f"<p>The {w} story goes on, and on; it has commas, it has ends. It says more.</p>" for w in ("first", "second", "third")) + "</div>"
+    page = f"<body><div><span>{menu}</span></div>{story}<div>Call us</div></body>"
+    wanted = "\n".join(f"The {w} story goes on, and on; it has commas, it has ends. It says more." for w in ("first", "second", "third"))
+    assert main_text(page) == wanted
+    monkeypatch.setattr(html_text, "scores", lambda page: np.array([page.factor[e] for e in page.block_element]))
+    assert main_text(page) != wanted and sum(main_text(stripped(p)) == t for p, t in zip(pages, whole, strict=True)) < right
+
+
 def test_edges(spark, tmp_path):
     assert [main_text(x) for x in (None, "", "  ", "plain, text", "<p>open", "a < b & c &am", "<!-- open <p>x", "<script>x", "</p></div>x", "<p", "<>")] == ["", "", "", "plain, text", "open", "a < b & c &am", "", "", "x", "<p", "<>"]
     pages = spark.createDataFrame([(1, "u", None, 3), (1, "u", "<p>a", 4), (None, None, "<p>" + "word, " * 50_000, 5)], "page_id long, url string, html string, n_chars long")
