@@ -1,25 +1,20 @@
 import collections
-import functools
 import math
 import random
 import re
+import zlib
 
 import pytest
-import xxhash
 from helpers import documents, folder, sentence, words, write
+from pyspark.sql import functions as F
 
-from layerkv.llm import query_quality_rules
+from layerkv.llm import quality_rules, query_quality_rules
 from layerkv.llm.quality_rules import BUCKETS, THRESHOLD
 
 
-def hashed(*parts):
-    h = functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed=seed), parts, 42)
-    return (h - (1 << 64) if h >> 63 else h) % BUCKETS
-
-
 def grams(text):
-    w = words(text)
-    return [hashed(x) for x in w] + [hashed(*p) for p in zip(w, w[1:])]  # noqa: B905
+    crc = [zlib.crc32(w.encode()) for w in words(text)]
+    return [c % BUCKETS for c in crc] + [(c * 1_000_003 + d) % BUCKETS for c, d in zip(crc, crc[1:])]  # noqa: B905
 
 
 def brute(rows, trusted):
@@ -29,7 +24,7 @@ def brute(rows, trusted):
         if i in trusted:
             target.update(grams(t))
     all_raw, all_target = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
-    ratio = lambda b: round(math.log((target[b] + 1) / all_target) - math.log((raw[b] + 1) / all_raw), 4) if sum(target.values()) else 0.0
+    ratio = lambda b: math.floor((math.log((target[b] + 1) / all_target) - math.log((raw[b] + 1) / all_raw)) * 10_000 + 0.5) / 10_000 if sum(target.values()) else 0.0
     out = []
     for i, t in rows:
         t = t or ""
@@ -61,5 +56,15 @@ def test_edges(spark, tmp_path):
     rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r"), (4, loop), (5, "one\n\none\ntwo\n two"), (6, sentence(r, 4000, "ab")), (7, sentence(r, 60)), (7, sentence(r, 60)), (8, "x y z # <b>"), (None, "word " * 80)]
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (None, 1, 0), (99, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     check(spark, write(spark, tmp_path / "a", documents=documents(spark, rows), labels=labels), rows, {7})
+    check(spark, write(spark, tmp_path / "t", documents=documents(spark, rows), labels=spark.createDataFrame([(i, 1, 0) for i in range(9)], labels.schema)), rows, set(range(9)))
     check(spark, write(spark, tmp_path / "b", documents=documents(spark, rows), labels=labels.limit(0)), rows, set())
     assert query_quality_rules.query(spark, write(spark, tmp_path / "c", documents=documents(spark, []), labels=labels)).collect() == []
+
+
+def test_only_texts_that_may_be_trusted_are_shuffled(spark, monkeypatch):
+    docs = documents(spark, [(i, f"text {i}") for i in range(500)] + [(None, "none")]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    good = spark.createDataFrame([(i,) for i in range(0, 1000, 50)], "_good long")
+    for bits in (quality_rules.FILTER_BITS, 1 << 15, 16):  # the fewer bits, the more rows are asked for; flags stay
+        monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+        rows = quality_rules.flagged(docs, good).collect()
+        assert len(rows) == 501 and {r["_id"] for r in rows if r["_flag"]} == set(range(0, 500, 50))
