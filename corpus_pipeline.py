@@ -5,6 +5,11 @@ again as the next stage's docs. All stages but the last keep the columns of docu
 last adds size, checksum, shard and slot. The mixing stage's training order is the order of its files and of
 their rows, which the last stage cuts. Compression,
 signatures and alignment are beyond SQL, so the pipeline is tested against a brute-force version.
+
+Defined results: a null text counts as the empty one, which is one class to near duplicates; null and
+repeated ids lose no row whose text differs; an empty table, or one of which nothing is left, gives an
+empty result; further columns of ``documents`` go along up to the last stage, which drops them. A text is
+read whole however long it is. Without labels every document passes the first stage.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerkv.llm import decontamination, mixing, near_dedup, quality_model, sharding
-from layerkv.llm.common import checkpoint_dir, free_name, table
+from layerkv.llm.common import checkpoint_dir, dropped, free_name, table
 
 QUALITY, SHARDS = 0.3, 40
 ORACLE_SQL = None
@@ -27,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document of the least id."""
+    """Of each class of near duplicates one row, that of the least id; classes without ids keep one too."""
     return near_dedup.keep_first(docs)
 
 
@@ -70,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before), True)
+            dropped(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)
