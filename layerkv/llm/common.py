@@ -39,15 +39,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared checkpoint folder, of which later reads take only the columns they need, and its folder."""
-    folder = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+class Scratch:
+    """Parquet tables below the shared checkpoint folder, for as long as an operator works.
+
+    Later reads take only the columns they need, in as many tasks as the bytes ask for, however many
+    tasks wrote them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{checkpoint_dir(spark)}/tables-{uuid.uuid4()}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables; no plan may read them any more."""
+        dropped(self.spark, self.folder)
 
 
 def dropped(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that ``written`` made; no plan may read it any more."""
+    """Delete a folder on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
-from layerkv.llm.common import col, dropped, map_arrow, materialize, written
+from layerkv.llm.common import Scratch, col, map_arrow, materialize
 from layerkv.llm.shingles import BASE, blocks, mix, powers, shingled
 
 SIMILARITY = 0.8
@@ -52,7 +52,7 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (float(np.log(COORDINATES)) + 3)
 ID_BITS = 40
 #: Texts of a band in one block, and buckets in which their shingles are counted.
-BLOCK_OF, BUCKETS = 256, 256
+BLOCK_OF, BUCKETS = 512, 256
 U1, U2, U3 = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1342543DE82EF95))
 
 
@@ -229,7 +229,7 @@ def unions(block: pa.Table, similarity: float) -> Iterator[tuple]:
         return
     texts = [x.as_buffer() for x in block["shingles"]]
     numbers = [np.frombuffer(x, np.uint32) for x in texts]
-    keys = [np.array(k, np.int64) for k in block["keys"].to_pylist()]
+    keys = [np.array(k, np.int32) for k in block["keys"].to_pylist()]
     ahead = np.stack([np.stack([k[:first], k[-BANDS:][:first]]) for k in keys])
     # Shingles of the set and of the multiset, by buckets: the sums of the lesser counts bound what two texts share.
     counts = np.stack([np.stack([np.bincount((x[keep] >> 1) % BUCKETS, minlength=BUCKETS) for keep in (x & 1 == 0, slice(None))]) for x in numbers]).astype(np.int32)
@@ -281,25 +281,20 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(rows, run, schema)
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """Written down in files of about the advised size, as many as the bytes ask for: pairs and links take a small part of the texts' room."""
-    return materialize(df.hint("rebalance"))
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, root`` of every node of the edges ``a, b``, root the least node connected to it.
 
     Large and small stars by turns: each node's neighbours above it are tied to its least neighbour,
     then its neighbours below it are. Both only group and join by node, and the edges never grow.
     """
-    edges = narrow(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = narrow(small.select("u", F.col("m").alias("v")).unionByName(tied).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        new = scratch.write(small.select("u", F.col("m").alias("v")).unionByName(tied).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         old, now = (e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for e in (edges, new))
         edges = new
         if old == now:
@@ -314,7 +309,7 @@ def starred(members: DataFrame, key: list[str]) -> DataFrame:
     return pairs.select(F.least("_one", "id").alias("a"), F.greatest("_one", "id").alias("b")).distinct()
 
 
-def rooted(rows: DataFrame, similarity: float) -> DataFrame:
+def rooted(rows: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """``hi, lo, root, least`` of each sequence of words: its class, named by a number of one of the class's rows, and its least id.
 
     ``rows`` has ``node, id, hi, lo, keys, shingles``; texts of equal words go on as one, by their least node.
@@ -323,36 +318,37 @@ def rooted(rows: DataFrame, similarity: float) -> DataFrame:
     band_keys = F.expr(f"if(size(keys) > 0, array_distinct(transform(sequence(0, size(keys) - 1), p -> struct(keys[p] AS key, p % {BANDS} AS band))), NULL)")
     members = exact.select("id", F.explode(band_keys).alias("c")).select("id", "c.*")
     shared = members.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low < _high").select("key", "n")
-    members = narrow(members.join(shared, "key"))
-    sets = materialize(rows.select(F.col("node").alias("id"), "shingles").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
+    members = scratch.write(members.join(shared, "key"))
+    sets = scratch.write(rows.select(F.col("node").alias("id"), "shingles").join(members.select("id").distinct().hint("merge"), "id", "left_semi"))
 
     # All texts of a band with the one that shares the most bands with others.
     popular = members.groupBy("id").agg(F.sum("n").alias("rank"))
-    pairs = narrow(starred(members.select("id", "key", F.col("id").alias("root")).join(popular.hint("merge"), "id"), ["key"]))
-    links = narrow(verified(pairs, sets, similarity))
-    roots = components(links)
+    pairs = scratch.write(starred(members.select("id", "key", F.col("id").alias("root")).join(popular.hint("merge"), "id"), ["key"]))
+    links = scratch.write(verified(pairs, sets, similarity))
+    roots = components(links, scratch)
 
     # Where a band's texts are in several classes still: all pairs of different classes.
     open_ = members.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "key", "band", F.coalesce("root", "id").alias("root"))
     several = open_.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high AND _n > 2").select("key", "_n")
     parts = F.ceil(F.col("_n") / BLOCK_OF)
     groups = open_.join(several, "key").withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    groups = narrow(groups.select("id", "key", "band", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    groups = scratch.write(groups.select("id", "key", "band", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     if not groups.isEmpty():
-        full = sets.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(exact.select("id", "keys").hint("merge"), "id")
-        found = narrow(compared(groups.join(full.hint("merge"), "id"), similarity))
+        full = sets.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").join(exact.select("id", F.expr("transform(keys, k -> cast(shiftright(k, 32) AS int))").alias("keys")).hint("merge"), "id")
+        found = scratch.write(compared(groups.join(full.hint("merge"), "id"), similarity))
         if not found.isEmpty():
-            roots = components(links.unionByName(found))
+            roots = components(links.unionByName(found), scratch)
     return exact.select("hi", "lo", "id", "least").join(roots, F.col("id") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "id").alias("root"), "least")
 
 
 def grouped(docs: DataFrame, similarity: float) -> DataFrame:
     """``docs`` (``id, text`` and others) with ``root`` in place of the text, written down."""
-    rows, folder = written(sketches(docs).withColumn("node", F.monotonically_increasing_id()))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(sketches(docs).withColumn("node", F.monotonically_increasing_id()))
     kept = [c for c in docs.columns if c != "text"]
-    named = rooted(rows, similarity).select("hi", "lo", "root")
+    named = rooted(rows, similarity, scratch).select("hi", "lo", "root")
     out = materialize(rows.select(*kept, "hi", "lo").join(named.hint("merge"), ["hi", "lo"]).select(*kept, "root"))
-    dropped(docs.sparkSession, folder)
+    scratch.drop()
     return out
 
 

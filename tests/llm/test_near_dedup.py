@@ -7,6 +7,7 @@ from helpers import brute_classes, documents, folder, sentence, shingles, words,
 from pyspark.sql import functions as F
 
 from layerkv.llm import near_dedup, query_near_dedup
+from layerkv.llm.common import Scratch
 from layerkv.llm.near_dedup import COORDINATES, classes, components, keep_first, signatures
 from layerkv.llm.shingles import BLOCK, hashed_words, shingled
 
@@ -127,7 +128,7 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         x, y = sorted((root(a), root(b)))
         up[y] = x
-    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
