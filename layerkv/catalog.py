@@ -6,6 +6,7 @@ plus one, an error event deletes. ``ORDERS`` is that of customers' orders.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from layerkv.operators import amplification, layout, lookups, versions
 from layerkv.plans.options import Options
 from layerkv.plans.store import Store
 from layerkv.sources.change_logs import event_log, order_log, read
-from layerkv.streaming.ingest import ingest, numbered
+from layerkv.streaming.ingest import apply_ordered, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,8 +432,11 @@ def _(spark, folder):
 
 
 def new_store(spark: SparkSession) -> Store:
-    """A store of its own below the cluster's shared checkpoint folder."""
-    return Store.open(spark, f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/store-{uuid.uuid4()}", Options(background_compaction=False, l0_compaction_trigger=2))
+    """A store of its own below the cluster's shared checkpoint folder; below one of this process where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return Store.open(spark, f"{shared or tempfile.gettempdir()}/store-{uuid.uuid4()}", Options(background_compaction=False, l0_compaction_trigger=2))
 
 
 def event_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -453,7 +457,7 @@ def _(spark, folder):
     """Three frames, each flushed, then compacted: reads as the log does."""
     store, changes = new_store(spark), event_changes(spark, folder)
     for part in layers(changes)[::-1]:
-        store.write_frame(numbered(part, "seq").select("ordinal", "user_key", "vtype", "value"))
+        apply_ordered(store, part, "seq")
         store.flush()
     store.compact_all()
     return read_back(store.df())
@@ -463,11 +467,10 @@ def _(spark, folder):
 def _(spark, folder):
     """A snapshot after the first frame keeps what it saw through later frames and compaction."""
     store, parts = new_store(spark), layers(event_changes(spark, folder))[::-1]
-    frames = [numbered(p, "seq").select("ordinal", "user_key", "vtype", "value") for p in parts]
-    store.write_frame(frames[0])
+    apply_ordered(store, parts[0], "seq")
     pinned = store.snapshot()
-    for frame in frames[1:]:
-        store.write_frame(frame)
+    for part in parts[1:]:
+        apply_ordered(store, part, "seq")
         store.flush()
     store.compact_all()
     return read_back(store.df(pinned))
@@ -476,7 +479,7 @@ def _(spark, folder):
 @register("store_scan_page", f"WITH {EVENTS}, {live_sql()}, s AS ({STORED}) SELECT * FROM s WHERE user_key >= 'user0000000000000050' ORDER BY user_key LIMIT 20")
 def _(spark, folder):
     store = new_store(spark)
-    store.write_frame(numbered(event_changes(spark, folder), "seq").select("ordinal", "user_key", "vtype", "value"))
+    apply_ordered(store, event_changes(spark, folder), "seq")
     store.flush()
     return read_back(store.scan("user0000000000000050", 20))
 

@@ -85,3 +85,11 @@ def internal_key(key: Column, seq: Column, vtype: Column) -> Column:
     """Key and its 8-byte tag: the type's byte, then the sequence's seven from the lowest on. The tag is never a signed number."""
     digits = F.concat(F.lpad(F.hex(seq), 14, "0"), F.lpad(F.hex(vtype), 2, "0"))
     return F.concat(key.cast("binary"), F.unhex(F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])))
+
+
+def split_internal_key(name: Column) -> tuple[Column, Column, Column]:
+    """(key, sequence, type) of an internal key: its last eight bytes are the tag, lowest first."""
+    tag = F.hex(F.substring(name, F.length(name) - 7, F.lit(8)))
+    high_first = F.concat(*[F.substring(tag, k, 2) for k in range(15, 0, -2)])
+    number = lambda digits: F.conv(digits, 16, 10).cast("long")
+    return F.substring(name, F.lit(1), F.length(name) - 8), number(F.substring(high_first, 1, 14)), number(F.substring(high_first, 15, 2)).cast("int")

@@ -1,8 +1,10 @@
 """Which versions of a key are seen, kept and dropped.
 
 Every operator takes a change log with ``key``, ``seq`` and ``vtype`` columns (any others ride
-along) and is one hash aggregation or one window on the key, so filters on the key reach the scan
-and partial aggregation happens before the shuffle.
+along) and is one aggregation or one window on the key, so filters on the key reach the scan and partial
+aggregation happens before the shuffle. The newest version is a hash aggregation where all columns beside
+the key have a fixed width; a string or binary value can't be kept in a hash table's buffer, so there
+Spark sorts the rows by key instead.
 """
 
 from __future__ import annotations
@@ -12,8 +14,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
+
 from layerkv.schema import DELETION, VALUE
 
+RUN = 4096
+FIXED_WIDTH = (BooleanType, DateType, NumericType, TimestampNTZType, TimestampType)
+
 
 def visible(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
     """Entries that a reader at ``snapshot`` may see; all of them without one."""
@@ -23,6 +30,9 @@ def visible(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
 def newest(log: DataFrame, snapshot: int | None = None, key: str = "user_key") -> DataFrame:
     """The newest visible entry of each key, deletions included."""
     rest = [c for c in log.columns if c != key]
+    if all(isinstance(log.schema[c].dataType, FIXED_WIDTH) for c in rest):
+        each = [F.max("seq").alias("seq") if c == "seq" else F.max_by(c, "seq").alias(c) for c in rest]
+        return visible(log, snapshot).groupBy(key).agg(*each).select(log.columns)
     best = visible(log, snapshot).groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("_newest"))
     return best.select(key, "_newest.*").select(log.columns)
 
@@ -82,12 +92,24 @@ def smallest_snapshot(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     return last.unionByName(snapshots.agg(F.min("seq").alias("seq"))).agg(F.min("seq").alias("smallest_snapshot"))
 
 
+def _run_of(batches: DataFrame, batch: str) -> Column:
+    kind = batches.schema[batch].dataType
+    if isinstance(kind, DateType):
+        return F.floor(F.unix_date(batch) / RUN)
+    return F.floor(F.col(batch) / RUN) if isinstance(kind, NumericType) else F.lit(0)
+
+
 def batch_sequences(batches: DataFrame, base: int, batch: str = "batch_id", ordinal: str = "ordinal") -> DataFrame:
-    """Consecutive sequence numbers from ``base`` on, by batch and by place in it.
+    """Consecutive sequence numbers from ``base`` on, by batch (a number or a date; other
+    types are one run) and by place in it.
 
-    Batches are counted on their own first, so a batch's rows are numbered without the other batches'.
+    Batches are counted on their own first, so a batch's rows are numbered without the other batches'; the
+    counts are summed by runs of ``RUN`` batch numbers, and only the sums of runs meet in one task.
     """
-    sizes = batches.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(batch, F.coalesce(F.sum("_n").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sizes = batches.groupBy(batch).agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", _run_of(batches, batch))
+    runs = sizes.groupBy("_run").agg(F.sum("_n").alias("_all"))
+    runs = runs.select("_run", F.coalesce(F.sum("_all").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_run").orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.withColumn("_inside", inside).join(runs, "_run").select(batch, (F.col("_earlier") + F.col("_inside")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(batch).orderBy(ordinal)) - 1
     return batches.withColumn("_place", place).join(before, batch).withColumn("seq", F.lit(base) + F.col("_before") + F.col("_place")).drop("_place", "_before")

@@ -6,13 +6,16 @@ compacts levels as their sizes ask for, and neither changes what any snapshot re
 segments and files of one version and let one aggregation find the newest visible entries; Parquet
 statistics and Bloom filters prune inside files, the manifest's key ranges prune whole files.
 
-There is one writer at a time: a second one's commit fails, since its version number is taken.
+Any number of threads may write through one handle: they queue, and whoever gets the turn commits a group
+for all that wait. Of two handles, the second one's commit fails, since its version number is taken.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -36,6 +39,27 @@ class Snapshot:
         self.sequence = sequence
 
 
+class Waiting:
+    """A batch in the queue of writers."""
+
+    def __init__(self, batch: WriteBatch, options: WriteOptions):
+        self.batch, self.options, self.done, self.error = batch, options, False, None
+
+    @property
+    def wants_sync(self) -> bool:
+        return self.options.sync and not self.options.use_default_policy
+
+
+#: What the store counts, by the part of it that does the work.
+COUNTED = {
+    "write": ("writes", "write_groups", "writes_grouped", "user_bytes_written", "bytes_written_to_log"),
+    "publish": ("publishes",),
+    "flush": ("flushes", "flush_output_bytes", "flush_versions_dropped"),
+    "compact": ("compactions", "compaction_input_bytes", "compaction_output_bytes"),
+    "read": ("gets", "get_hits_tail", "files_probed", "files_pruned", "scan_entries_returned", "scan_entries_skipped"),
+}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.options, self.folder = spark, options, Folder(spark, path)
@@ -43,11 +67,8 @@ class Store:
         self.pending: list[tuple[int, WriteBatch]] = []  # written but not yet published, with first sequences
         self.last_sequence, self.published_at = 0, time.monotonic()
         self.before_publish: Callable[[Version], None] | None = None
-        self.counts = dict.fromkeys(
-            "writes write_groups writes_grouped publishes flushes compactions compaction_input_bytes compaction_output_bytes flush_output_bytes flush_versions_dropped "
-            "bytes_written_to_log user_bytes_written gets get_hits_tail files_probed scan_entries_returned scan_entries_skipped".split(),
-            0,
-        )
+        self.counts = dict.fromkeys((name for names in COUNTED.values() for name in names), 0)
+        self._turn, self._queue = threading.RLock(), deque()
 
     # Lifecycle
 
@@ -118,49 +139,75 @@ class Store:
         self.write(WriteBatch().delete(key), options)
 
     def write(self, batch: WriteBatch, options: WriteOptions = WriteOptions()) -> None:  # noqa: B008
-        self.write_group([batch], options)
+        """Queue the batch; whoever has the turn commits it, together with others that wait."""
+        waiting = Waiting(batch, options)
+        self._queue.append(waiting)
+        with self._turn:
+            while not waiting.done:
+                self._lead()
+        if waiting.error:
+            raise waiting.error
+
+    def _lead(self) -> None:
+        """Commit the first of the queue, with as many of those behind it as its group takes along."""
+        queued = list(self._queue)
+        group = queued[: group_size([w.batch.approximate_size for w in queued], [w.wants_sync for w in queued])]
+        try:
+            self.write_group([w.batch for w in group], group[0].options)
+        except Exception as e:
+            for w in group:
+                w.error = e
+        for w in group:
+            self._queue.popleft()
+            w.done = True
 
     def write_all(self, batches: list[WriteBatch]) -> None:
         """Queued batches in order, in as few commits as group sizes allow; each batch stays whole."""
-        rest = list(batches)
-        while rest:
-            n = group_size([b.approximate_size for b in rest], [False] * len(rest))
-            self.write_group(rest[:n])
-            rest = rest[n:]
+        waiting = [Waiting(b, WriteOptions()) for b in batches]
+        with self._turn:
+            self._queue.extend(waiting)
+            while not all(w.done for w in waiting):
+                self._lead()
+        for error in [w.error for w in waiting if w.error]:
+            raise error
 
     def write_group(self, batches: list[WriteBatch], options: WriteOptions = WriteOptions()) -> None:  # noqa: B008
         merged = reduce(WriteBatch.append, batches, WriteBatch())
-        if self.error:
-            raise StoreError("an earlier write failed") from self.error
-        if not len(merged):
-            return
-        if self.last_sequence + len(merged) > MAX_SEQUENCE:
-            raise InvalidArgument("sequences are used up")
-        self.pending.append((self.last_sequence + 1, merged))
-        self.last_sequence += len(merged)
-        user = merged.user_bytes
-        for name, n in (("writes", len(merged)), ("write_groups", 1), ("writes_grouped", len(merged)), ("user_bytes_written", user), ("bytes_written_to_log", user + RECORD_BYTES + ENTRY_BYTES * len(merged))):
-            self.counts[name] += n
-        if should_publish(self.options, options, (time.monotonic() - self.published_at) * 1000):
-            self.sync()
-        if self.options.background_compaction and self._tail_bytes() > self.options.memtable_size_bytes:
-            self.flush()
-            self.maintain()
+        with self._turn:
+            if self.error:
+                raise StoreError("an earlier write failed") from self.error
+            if not len(merged):
+                return
+            if self.last_sequence + len(merged) > MAX_SEQUENCE:
+                raise InvalidArgument("sequences are used up")
+            self.pending = [*self.pending, (self.last_sequence + 1, merged)]
+            self.last_sequence += len(merged)
+            user = merged.user_bytes
+            for name, n in (("writes", len(merged)), ("write_groups", 1), ("writes_grouped", len(batches)), ("user_bytes_written", user), ("bytes_written_to_log", user + RECORD_BYTES + ENTRY_BYTES * len(merged))):
+                self.counts[name] += n
+            if should_publish(self.options, options, (time.monotonic() - self.published_at) * 1000):
+                self.sync()
+            if self._tail_bytes() > self.options.memtable_size_bytes:  # the tail is bounded in either mode
+                self.flush()
+                if self.options.background_compaction:
+                    self.maintain()
 
     def _tail_bytes(self) -> int:
         return sum(s.size for s in self.version.segments) + sum(b.approximate_size for _, b in self.pending)
 
-    def _pending_rows(self) -> list[tuple]:
-        return [(key, first + k, vtype, value if vtype == VALUE else None) for first, batch in self.pending for k, (vtype, key, value) in enumerate(batch.entries)]
+    @staticmethod
+    def _pending_rows(pending: list[tuple[int, WriteBatch]]) -> list[tuple]:
+        return [(key, first + k, vtype, value if vtype == VALUE else None) for first, batch in pending for k, (vtype, key, value) in enumerate(batch.entries)]
 
     def sync(self) -> None:
         """Publish pending writes as one segment."""
-        if not self.pending:
-            return
-        rows = self._pending_rows()
-        size = sum(b.approximate_size for _, b in self.pending)
-        self._add_segment(self.spark.createDataFrame(rows, ENTRY).coalesce(1), len(rows), size, self.last_sequence)
-        self.pending = []
+        with self._turn:
+            if not self.pending:
+                return
+            rows = self._pending_rows(self.pending)
+            size = sum(b.approximate_size for _, b in self.pending)
+            self._add_segment(self.spark.createDataFrame(rows, ENTRY).coalesce(1), len(rows), size, self.last_sequence)
+            self.pending = []
 
     def _add_segment(self, entries: DataFrame, rows: int, size: int | None, last: int, streams: dict[str, int] | None = None) -> None:
         number = self.version.next_number
@@ -178,6 +225,10 @@ class Store:
 
         With ``stream``, a micro-batch that was applied before is left out, so replays change nothing.
         """
+        with self._turn:
+            return self._write_frame(changes, stream, batch_id)
+
+    def _write_frame(self, changes: DataFrame, stream: str | None, batch_id: int) -> int:
         if self.error:
             raise StoreError("an earlier write failed") from self.error
         if stream is not None and self.version.streams.get(stream, -1) >= batch_id:
@@ -197,14 +248,20 @@ class Store:
 
     # Reads
 
+    def _read(self, *paths: str) -> DataFrame:
+        """Entries of segments and files; a page that fails its checksum fails the read, unless options say not to look."""
+        return self.spark.read.schema(ENTRY).option("parquet.page.verify-checksum.enabled", str(self.options.verify_checksums).lower()).parquet(*paths)
+
     def log(self, low: bytes | str | None = None, high: bytes | str | None = None) -> DataFrame:
         """All stored entries, of files whose range meets ``[low, high]`` if given."""
         lo, hi = (None if k is None else as_bytes(k).hex() for k in (low, high))
-        files = [f for f in self.version.files if (lo is None or f.largest >= lo) and (hi is None or f.smallest <= hi)]
-        paths = [f"{self.folder.path}/{s.path}" for s in self.version.segments] + [f"{self.folder.path}/{f.path}" for f in files]
-        parts = [self.spark.read.schema(ENTRY).parquet(*paths)] if paths else []
-        if self.pending or not parts:
-            parts.append(self.spark.createDataFrame(self._pending_rows(), ENTRY))
+        pending, version = self.pending, self.version  # in this order: what is published in between is in both, and reads the same
+        files = [f for f in version.files if (lo is None or f.largest >= lo) and (hi is None or f.smallest <= hi)]
+        self.counts["files_pruned"] += len(version.files) - len(files)
+        paths = [f"{self.folder.path}/{s.path}" for s in version.segments] + [f"{self.folder.path}/{f.path}" for f in files]
+        parts = [self._read(*paths)] if paths else []
+        if pending or not parts:
+            parts.append(self.spark.createDataFrame(self._pending_rows(pending), ENTRY))
         return reduce(DataFrame.unionByName, parts)
 
     def _at(self, snapshot: Snapshot | None) -> int:
@@ -246,14 +303,19 @@ class Store:
         return rows if limit is None else rows.limit(limit)
 
     def iterate(self, start: bytes | str | None = None, snapshot: Snapshot | None = None) -> Iterator[tuple[bytes, bytes]]:
-        """A forward cursor; what it has passed is counted when it is closed or done."""
-        returned = 0
+        """A forward cursor; what it has passed is counted when it is closed or done: rows, and entries that it stepped over."""
+        log, at, returned, last, done = self.log(start), self._at(snapshot), 0, None, False
+        if start is not None:
+            log = log.where(F.col("user_key") >= F.lit(as_bytes(start)))
         try:
-            for row in self.scan(start, None, snapshot).toLocalIterator():
-                returned += 1
-                yield bytes(row["user_key"]), bytes(row["value"])
+            for row in versions.scan(log, at).toLocalIterator():
+                returned, last = returned + 1, bytes(row["user_key"])
+                yield last, bytes(row["value"])
+            done = True
         finally:
+            passed = log if done else log.where(F.col("user_key") <= F.lit(last)) if returned else log.limit(0)
             self.counts["scan_entries_returned"] += returned
+            self.counts["scan_entries_skipped"] += passed.count() - returned
 
     # Snapshots
 
@@ -293,14 +355,22 @@ class Store:
         return tuple(File(level, number + k, f"{name}/{r['f']}", r["n"], r["size"], r["lo"].lower(), r["hi"].lower()) for k, r in enumerate(found)), number + max(1, len(found))
 
     def flush(self) -> bool:
-        """Collapse the tail into a file of level 0; nothing to do if it is empty. Deletions stay."""
+        """Collapse the tail into a run of level 0; nothing to do if it is empty. Deletions stay.
+
+        A run is one file, or as many disjoint ones as the tail is times larger than a memory table.
+        """
+        with self._turn:
+            return self._flush()
+
+    def _flush(self) -> bool:
         self.sync()
         if not self.version.segments:
             return False
         tail = [f"{self.folder.path}/{s.path}" for s in self.version.segments]
-        kept = versions.collapse(self.spark.read.schema(ENTRY).parquet(*tail), self.smallest_snapshot())
+        kept = versions.collapse(self._read(*tail), self.smallest_snapshot())
         rows = sum(s.rows for s in self.version.segments)
-        files, after = self._write_table(kept, 0, 1, rows)
+        size = sum(s.size for s in self.version.segments)
+        files, after = self._write_table(kept, 0, max(1, -(-size // self.options.memtable_size_bytes)), rows)
         self._commit(self.version.next(next_number=after, segments=(), files=(*self.version.files, *files)))
         self.counts["flushes"] += 1
         self.counts["flush_output_bytes"] += sum(f.file_size for f in files)
@@ -308,7 +378,7 @@ class Store:
         return True
 
     def pick_level(self) -> int | None:
-        files = {k: len(self.version.level(k)) for k in range(LEVELS)}
+        files = {k: len({f.path.rpartition("/")[0] if k == 0 else f.path for f in self.version.level(k)}) for k in range(LEVELS)}  # level 0 counts runs
         return compaction_level(files, {k: sum(f.file_size for f in self.version.level(k)) for k in range(LEVELS)}, self.options)
 
     def compact_level(self, level: int) -> None:
@@ -317,6 +387,10 @@ class Store:
         Level 0 goes down whole, since its files overlap; another level gives the first file behind
         the key it last gave, beginning again at its end.
         """
+        with self._turn:
+            self._compact_level(level)
+
+    def _compact_level(self, level: int) -> None:
         inputs = self.version.level(level)
         if not inputs or level >= LEVELS - 1:
             return
@@ -326,7 +400,7 @@ class Store:
         low, high = min(f.smallest for f in inputs), max(f.largest for f in inputs)
         merged = inputs + [f for f in self.version.level(level + 1) if f.meets(low, high)]
         bottom = not any(f.level >= level + 2 for f in self.version.files)
-        log = self.spark.read.schema(ENTRY).parquet(*(f"{self.folder.path}/{f.path}" for f in merged))
+        log = self._read(*(f"{self.folder.path}/{f.path}" for f in merged))
         kept = versions.compact(log, self.smallest_snapshot(), bottom)
         size = sum(f.file_size for f in merged)
         files, after = self._write_table(kept, level + 1, -(-size // self.options.target_file_size), sum(f.rows for f in merged))
@@ -366,5 +440,3 @@ class Store:
     def level_summary(self) -> str:
         levels = [(k, self.version.level(k)) for k in range(LEVELS)]
         return " ".join(f"L{k}:{len(fs)}({sum(f.file_size for f in fs) // 1024}KiB)" for k, fs in levels if fs)
-
-

@@ -23,6 +23,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     callers that know the logs' order should accept ``torn`` for the last log only.
     """
 
+    return decode_logs(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decode_logs(logs: DataFrame) -> DataFrame:
+    """Entries of logs given as ``path, content``."""
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
@@ -35,7 +41,18 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
                     columns=["path", "base_seq", "ordinal", "user_key", "seq", "vtype", "value", "torn"],
                 )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, LOG_ENTRIES)
+    return logs.mapInPandas(decode, LOG_ENTRIES)
+
+
+def encode_logs(entries: DataFrame) -> DataFrame:
+    """``path, content`` of binary logs, one for each ``path`` of ``path, base_seq, ordinal, vtype, user_key, value``; a batch is the entries of one ``base_seq``."""
+
+    def encode(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["base_seq", "ordinal"])
+        batches = [(int(base), [(int(t), bytes(k), bytes(v) if v is not None else b"") for t, k, v in zip(b["vtype"], b["user_key"], b["value"], strict=True)]) for base, b in rows.groupby("base_seq", sort=True)]
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [encode_log(batches)]})
+
+    return entries.groupBy("path").applyInPandas(encode, "path string, content binary")
 
 
 def encode_log(batches: list[tuple[int, list[Entry]]]) -> bytes:

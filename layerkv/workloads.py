@@ -1,7 +1,7 @@
 """Load and mixed workloads as tables: an operation log, and its answers as joins.
 
 Operations are rows ``op_no, op, key_no``; a run turns the writing ones into versions and answers the
-reading ones by as-of lookups, all in one job each. Keys follow a Zipf law by a closed form of one
+reading ones, points and scans, by as-of lookups, all in one job each. Keys follow a Zipf law by a closed form of one
 random number, or stay near the newest key.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerkv.operators.lookups import as_of
 
 #: Fixed values of the workloads.
 THETA, SCAN_ROWS = 0.99, 50
+RUN = 4096
 READ, UPDATE, INSERT, SCAN, READ_MODIFY_WRITE = "read", "update", "insert", "scan", "rmw"
 
 
@@ -88,13 +89,26 @@ def load(spark: SparkSession, n: int) -> DataFrame:
 
 
 def operations(spark: SparkSession, spec: Spec, n_ops: int, n_keys: int, seed: int = 1) -> DataFrame:
-    """``op_no, op, key_no``. Inserts take new numbers after the loaded ones, in order."""
+    """``op_no, op, key_no, newest``. Inserts take new numbers after the loaded ones, in order."""
     rows = spark.range(n_ops).select(F.col("id").alias("op_no"), F.rand(seed).alias("_u"), F.rand(seed + 1).alias("_z"))
     rank = zipf(F.col("_z"), n_keys, zeta(spark, n_keys))
-    key = F.lit(n_keys - 1) - rank if spec.latest else rank
-    op = pick(spec, F.col("_u"))
-    # New keys are numbered by the operation that makes them, so no count of earlier inserts is needed.
-    return rows.select("op_no", op.alias("op"), F.when(op == INSERT, F.lit(n_keys) + F.col("op_no")).otherwise(key).alias("key_no"))
+    return numbered_keys(rows.select("op_no", pick(spec, F.col("_u")).alias("op"), rank.alias("key_no")), n_keys, spec.latest)
+
+
+def numbered_keys(ops: DataFrame, n_keys: int, latest: bool = False) -> DataFrame:
+    """``op_no, op, key_no, newest``: inserts take the next free number, and with ``latest`` the key of
+    other operations counts back from the newest one; ``newest`` is that key when the operation begins.
+
+    Inserts are counted by runs of ``RUN`` operations; only the runs' counts meet in one task.
+    """
+    is_insert = (F.col("op") == INSERT).cast("long")
+    rows = ops.withColumn("_run", F.floor(F.col("op_no") / RUN))
+    runs = rows.groupBy("_run").agg(F.sum(is_insert).alias("_all"))
+    runs = runs.select("_run", F.coalesce(F.sum("_all").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    inside = F.coalesce(F.sum(is_insert).over(Window.partitionBy("_run").orderBy("op_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_inside", inside).join(runs, "_run").withColumn("newest", F.lit(n_keys - 1) + F.col("_earlier") + F.col("_inside"))
+    key = F.greatest(F.col("newest") - F.col("key_no"), F.lit(0)) if latest else F.col("key_no")
+    return rows.select("op_no", "op", F.when(F.col("op") == INSERT, F.col("newest") + 1).otherwise(key).alias("key_no"), "newest")
 
 
 def versions_of(ops: DataFrame, n_keys: int) -> DataFrame:
@@ -105,6 +119,18 @@ def versions_of(ops: DataFrame, n_keys: int) -> DataFrame:
     return loaded.union(written)
 
 
+def scans(ops: DataFrame, n_keys: int, rows: int = SCAN_ROWS) -> DataFrame:
+    """``op_no, key, version, value``: the live rows that each scan returns, up to ``rows`` from its key on.
+
+    Keys are numbered without gaps and never deleted, so a scan's keys follow from its first and from the
+    newest one; their versions are found by one as-of join.
+    """
+    asked = ops.where((F.col("op") == SCAN) & (F.col("key_no") <= F.col("newest")))
+    last = F.least(F.col("key_no") + (rows - 1), F.col("newest"))
+    reads = asked.select("op_no", F.explode(F.sequence("key_no", last)).alias("_no"), (F.col("op_no") + n_keys).alias("at")).select("op_no", bench_key(F.col("_no")).alias("key"), "at")
+    return as_of(reads, versions_of(ops, n_keys), "key", "at").drop("at")
+
+
 def answers(ops: DataFrame, n_keys: int) -> DataFrame:
     """Each point read (those of read-modify-writes too) with the version and value it sees."""
     reads = ops.where(F.col("op").isin(READ, READ_MODIFY_WRITE)).select("op_no", "op", bench_key(F.col("key_no")).alias("key"), (F.col("op_no") + n_keys).alias("at"))

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import layerkv.catalog_formats  # noqa: F401
 from layerkv import catalog, workloads
 
 FOLDER = "/root/testdata/sf0.001"

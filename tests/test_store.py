@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 
 import pytest
 from model import live
@@ -158,3 +160,84 @@ def test_manifests_round_trip(spark, tmp_path):
     store.flush()
     assert decode(encode(store.version)) == store.version and store.level_summary().startswith("L0:1(")
     assert store.stats().first()["writes"] == 1 and store.files().count() == 1
+
+
+def test_writers_share_commits_and_lose_nothing(spark, tmp_path):
+    store, n = Store.open(spark, str(tmp_path / "s"), Options(background_compaction=False)), 12
+    failed = []
+
+    def work(k):
+        try:
+            store.write(WriteBatch().put(f"k{k:02d}", str(k)).put("shared", str(k)))
+        except Exception as e:
+            failed.append(e)
+
+    with store._turn:  # all of them wait before the first may go on
+        threads = [threading.Thread(target=work, args=(k,)) for k in range(n)]
+        for t in threads:
+            t.start()
+        while len(store._queue) < n:
+            time.sleep(0.01)
+    for t in threads:
+        t.join()
+    assert not failed and store.counts["writes_grouped"] == n and store.counts["write_groups"] == 1 and store.last_sequence == 2 * n
+    rows = store.log().collect()
+    assert sorted(r["seq"] for r in rows) == list(range(1, 2 * n + 1))
+    by_seq = {r["seq"]: (bytes(r["user_key"]), bytes(r["value"])) for r in rows}
+    for s in range(1, 2 * n, 2):  # a batch is never torn apart
+        assert by_seq[s][0] == b"k%02d" % int(by_seq[s][1]) and by_seq[s + 1] == (b"shared", by_seq[s][1])
+    assert store.get("shared") == by_seq[2 * n][1]
+
+
+@pytest.mark.parametrize("background", [False, True])
+def test_the_tail_is_bounded_in_either_mode(spark, tmp_path, background):
+    options = Options(background_compaction=background, memtable_size_bytes=2000, l0_compaction_trigger=2)
+    with Store.open(spark, str(tmp_path / "s"), options) as store:
+        for k in range(6):
+            store.put(f"k{k}", "x" * 900)
+        assert store.counts["flushes"] >= 2 and store._tail_bytes() <= 2000 and (store.counts["compactions"] > 0) == background
+        assert len(content(store)) == 6
+
+
+def test_scans_count_what_they_step_over(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s"), SMALL) as store:
+        for _ in range(10):
+            batch = WriteBatch()
+            for k in range(10):
+                batch.put(f"k{k}", "v")
+            store.write(batch)
+        assert len(list(store.iterate())) == 10 and store.counts["scan_entries_skipped"] == 90
+        cursor = store.iterate("k3")
+        next(cursor), next(cursor)
+        cursor.close()
+        assert (store.counts["scan_entries_returned"], store.counts["scan_entries_skipped"]) == (12, 90 + 18)
+        store.flush()
+        list(store.iterate())
+        assert store.counts["scan_entries_skipped"] == 108
+
+
+def test_damaged_pages_are_noticed(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), SMALL)
+    batch = WriteBatch()
+    for k in range(500):
+        batch.put(f"key{k:05d}", f"{k * 7919 % 10007:05d}" * 20)
+    store.write(batch)
+    store.flush()
+    file = tmp_path / "s" / store.version.files[0].path
+    data = bytearray(file.read_bytes())
+    data[len(data) // 3] ^= 0xFF
+    file.write_bytes(data)
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        store.df().collect()
+
+
+def test_a_large_tail_is_flushed_by_several_tasks(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "s"), Options(background_compaction=False, memtable_size_bytes=100_000, l0_compaction_trigger=3))
+    frame = spark.range(20_000).selectExpr("id AS ordinal", "cast(format_string('k%06d', id) AS binary) AS user_key", "1 AS vtype", "cast(cast(id * 7919 AS string) AS binary) AS value")
+    store.write_frame(frame)
+    store.flush()
+    files = store.version.level(0)
+    assert len(files) > 1 and sum(f.rows for f in files) == 20_000 and store.pick_level() is None
+    ranges = sorted((f.smallest, f.largest) for f in files)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and store.df().count() == 20_000

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from model import compact, live
+from pyspark.sql import functions as F
 
 from layerkv.operators import amplification, lookups, versions
 from layerkv.schema import ENTRY
@@ -86,3 +87,18 @@ def test_amplification_counts(spark):
 def test_batches_are_numbered_in_order(spark):
     df = spark.createDataFrame([(2, 1, "c"), (1, 7, "b"), (1, 3, "a"), (2, 2, "d")], "batch_id int, ordinal int, name string")
     assert {r["name"]: r["seq"] for r in versions.batch_sequences(df, 10).collect()} == {"a": 10, "b": 11, "c": 12, "d": 13}
+
+
+def test_newest_of_fixed_width_columns_is_a_hash_aggregation(spark):
+    log = spark.createDataFrame([(k % 5, k, k % 2, k * 0.5) for k in range(50)], "user_key int, seq long, vtype int, value double")
+    plan = versions.live(log)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = {tuple(r) for r in versions.newest(log, 40).collect()}
+    text = versions.newest(log.withColumn("value", F.col("value").cast("string")), 40).collect()
+    assert got == {(r["user_key"], r["seq"], r["vtype"], float(r["value"])) for r in text} and len(got) == 5
+
+
+def test_batches_are_numbered_over_runs(spark):
+    rows = spark.range(30_000).selectExpr("id * 3 % 9000 AS batch_id", "id AS ordinal")
+    got = versions.batch_sequences(rows, 7).orderBy("batch_id", "ordinal").collect()
+    assert [r["seq"] for r in got] == list(range(7, 30_007))
