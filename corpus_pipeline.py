@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerkv.llm import decontamination, mixing, near_dedup, quality_model, sharding
-from layerkv.llm.common import checkpoint_dir, dropped, free_name, table
+from layerkv.llm.common import checkpoint_dir, dropped, table
 
 QUALITY, SHARDS = 0.3, 40
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
@@ -53,14 +54,15 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     files. Only places and sizes are sorted; each file's runs of slots are sent back to the rows (a row
     for each file and shard).
     """
-    file, row = free_name(docs, "_file"), free_name(docs, "_place")
+    file, row = "_file", "_place"
     number = F.lpad(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), 10, "0")  # more digits than Spark pads to
     at = {file: F.concat(number, F.col("_metadata.file_name")), row: F.col("_metadata.row_index")}
     placed = sharding.assign_shards(docs, sharding.text_bytes(), at, SHARDS)
     runs = placed.groupBy(F.col(file).alias("_run"), "shard").agg(F.min(row).alias("_low"), F.max(row).alias("_high"), F.min("slot").alias("_slot"))
-    rows = docs.withColumns(at | {"size": sharding.text_bytes(), "text_crc32": sharding.text_crc32()})
+    added = at | {"size": sharding.text_bytes(), "text_crc32": sharding.text_crc32()}
+    rows = docs.select(*DOCUMENT, *[e.alias(name) for name, e in added.items()])
     out = rows.join(F.broadcast(runs), (F.col(file) == F.col("_run")) & F.col(row).between(F.col("_low"), F.col("_high"))).withColumn("slot", F.col("_slot") + F.col(row) - F.col("_low"))
-    return out.select("doc_id", "text", "lang", "source", "n_chars", "size", "text_crc32", "shard", "slot")
+    return out.select(*DOCUMENT, "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [("quality", quality), ("near_dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
