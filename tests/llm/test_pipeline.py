@@ -2,9 +2,11 @@ import collections
 import random
 
 import corpus_pipeline
-from helpers import brute_classes, documents, folder, sentence, words
+import duckdb
+from helpers import brute_classes, documents, folder, sentence, words, write
+from pyspark.sql import functions as F
 
-from layerkv.llm import mixing, quality_model, query_decontamination
+from layerkv.llm import mixing, quality_model, query_decontamination, query_mixing
 from layerkv.llm.common import table
 
 
@@ -55,3 +57,59 @@ def test_shards_are_cut_along_the_training_order(spark, tmp_path):
         assert max(total) - min(total) <= 2 * max(x["size"] for x in got)
         orders.append([(x["doc_id"], x["shard"], x["slot"]) for x in got])
     assert orders[0] != orders[1] and sorted(o[0] for o in orders[0]) == sorted(o[0] for o in orders[1])
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def tables(spark, path, docs, labels=(), items=()):
+    return write(
+        spark, path, documents=docs, labels=spark.createDataFrame([*labels], LABELS), benchmark=spark.createDataFrame([*items], "item_id long, text string")
+    )
+
+
+def test_odd_tables(spark, tmp_path):
+    r = random.Random(8)
+    item = sentence(r, 40)
+    text = sentence(r, 80)
+    rows = [(None, sentence(r, 50)), (None, sentence(r, 50)), (1, sentence(r, 50)), (1, sentence(r, 50)), (2, text), (3, text), (None, text), (4, None), (5, ""), (None, None)]
+    rows += [(6, item + " " + sentence(r, 60)), (7, sentence(r, 30_000)), (8, "one two"), (9, "one two")]
+    clash = documents(spark, rows).withColumn("Size", F.lit("x")).withColumn("shard", F.lit("y")).withColumn("id", F.lit(None).cast("long")).withColumn("a.b", F.lit(1)).withColumn("_place", F.lit(2))
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path / "a", clash, items=[(1, item), (2, None), (None, "")])).collect()
+    assert {g["text"] for g in got} == {t for i, t in rows if t and i != 6 and t != "one two"} | {"one two"} and all(g["doc_id"] != 3 for g in got)
+    assert sum(g["doc_id"] is None for g in got) >= 2 and {8} == {g["doc_id"] for g in got if g["text"] == "one two"}
+    places = sorted((g["shard"], g["slot"]) for g in got)
+    sizes = collections.Counter(s for s, _ in places)
+    assert places == [(s, n) for s in sorted(sizes) for n in range(sizes[s])]
+    assert all(g["size"] == len(g["text"].encode()) + 16 for g in got)
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "b", clash.limit(0))).collect() == []
+    bad = [(k, 0, 0) for k in range(100, 160)]
+    docs = documents(spark, [(k, "BAD!! " * r.randrange(20, 90)) for k, _, _ in bad])
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "c", docs, bad, [(1, item)])).collect() == []  # all are rejected
+
+
+def test_mixing_and_sharding_agree_with_sql(spark, tmp_path):
+    docs = table(spark, folder(), "documents").where("doc_id % 3 > 0")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    mixed = corpus_pipeline.mix(spark, docs, "")
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.shard(spark, spark.read.parquet(str(tmp_path / "mixed")), "").orderBy("shard", "slot").collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    plan = duck.sql(query_mixing.SQL)
+    rows = [dict(zip(plan.columns, x, strict=True)) for x in plan.fetchall()]
+    assert collections.Counter(g["doc_id"] for g in got) == {x["doc_id"]: x["copies"] for x in rows if x["copies"]}
+    copies = sorted((p, x["doc_id"]) for x in rows for p in {x["position"], x["last_position"]} if p is not None)
+    order = [g["doc_id"] for g in got]
+    where = {}
+    for place, (p, i) in enumerate(copies):
+        where.setdefault(p, []).append((place, i))
+    at = 0
+    for p in sorted(where):  # documents of one position stand in any order
+        n = len(where[p])
+        assert sorted(order[at : at + n]) == sorted(i for _, i in where[p])
+        at += n
+    total, before = sum(g["size"] for g in got), 0
+    for g in got:
+        assert g["shard"] == min((2 * before + g["size"]) * corpus_pipeline.SHARDS // (2 * total), corpus_pipeline.SHARDS - 1)
+        before += g["size"]
