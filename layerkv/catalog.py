@@ -357,9 +357,9 @@ def _(spark, folder):
     """Even customers make the filter, all ask it; the filter is a set of bits that is joined, not sent."""
     key = F.concat(F.lit("user"), F.col("c_custkey").cast("string")).cast("binary")
     hashed = read(spark, folder, "customer").select("c_custkey", columns.filter_hash(key).alias("hash"))
-    n = hashed.where("c_custkey % 2 = 0").count()
-    bits = (max(n * BITS_PER_KEY, 64) + 7) // 8 * 8
-    places = hashed.select("c_custkey", F.explode(columns.probe_positions(F.col("hash"), F.lit(bits), F.lit(PROBES))).alias("place"))
+    keys = read(spark, folder, "customer").where("c_custkey % 2 = 0").agg(F.count(F.lit(1)).alias("n"))
+    bits = keys.select(F.floor((F.greatest(F.col("n") * BITS_PER_KEY, F.lit(64)) + 7) / 8) * 8).scalar()  # a subquery of the same job
+    places = hashed.withColumn("bits", bits).select("c_custkey", F.explode(columns.probe_positions(F.col("hash"), F.col("bits"), F.lit(PROBES))).alias("place"))
     made = places.where("c_custkey % 2 = 0").select("place").distinct().withColumn("_set", F.lit(1))
     asked = places.join(made, "place", "left").groupBy("c_custkey").agg((F.count("_set") == F.count(F.lit(1))).alias("may_contain"))
     return asked

@@ -33,11 +33,14 @@ def probes(bits_per_key: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MOST_PROBES), F.floor(bits_per_key * F.lit(LN2)).cast("int")))
 
 
+def once(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def times32(a: Column, b: int) -> Column:
     """Product of two unsigned 32-bit numbers modulo 2^32."""
-    low = (a % 65536) * b % WORD
-    high = F.floor(a / 65536) * b % 65536 * 65536
-    return (low + high) % WORD
+    return once(a, lambda x: ((x % 65536) * b % WORD + F.shiftright(x, 16) * b % 65536 * 65536) % WORD)
 
 
 def filter_hash(key: Column) -> Column:
@@ -49,15 +52,14 @@ def filter_hash(key: Column) -> Column:
 
     def step(h: Column, i: Column) -> Column:
         word = byte(i * 4) + byte(i * 4 + 1) * 256 + byte(i * 4 + 2) * 65536 + byte(i * 4 + 3) * 16777216
-        h = times32((h + word) % WORD, HASH_MULTIPLIER)
-        return h.bitwiseXOR(F.shiftright(h, 16))
+        return once(times32((h + word) % WORD, HASH_MULTIPLIER), lambda x: x.bitwiseXOR(F.shiftright(x, 16)))
 
     whole = F.when(words > 0, F.aggregate(F.sequence(F.lit(0), words - 1), start, step)).otherwise(start)
     rest = size % 4
     at = words * 4
     add = F.when(rest > 0, byte(at)).otherwise(0) + F.when(rest > 1, byte(at + 1) * 256).otherwise(0) + F.when(rest > 2, byte(at + 2) * 65536).otherwise(0)
-    tail = times32((whole + add) % WORD, HASH_MULTIPLIER)
-    return F.when(rest == 0, whole).otherwise(tail.bitwiseXOR(F.shiftright(tail, 24)))
+    turned = lambda h: once(times32((h + add) % WORD, HASH_MULTIPLIER), lambda x: x.bitwiseXOR(F.shiftright(x, 24)))
+    return once(whole, lambda h: F.when(rest == 0, h).otherwise(turned(h)))
 
 
 def probe_positions(h: Column, bits: Column, n_probes: Column) -> Column:
