@@ -247,3 +247,24 @@ def _(spark, folder):
     store = new_store(spark)
     apply_ordered(store, event_changes(spark, folder), "seq")
     return as_text(store.log()).select("user_key", "seq", "vtype", "value")
+
+
+@register("store_seek_page", f"WITH {EVENTS}, {live_sql()}, s AS ({STORED}) SELECT * FROM s WHERE user_key >= 'user0000000000000040' ORDER BY user_key LIMIT 15")
+def _(spark, folder):
+    """A page of a compacted store with a tail: read up to the key that the manifest shows to be far enough."""
+    store, changes = new_store(spark), event_changes(spark, folder)
+    apply_ordered(store, changes.where("seq <= 8000"), "seq")
+    store.flush()
+    store.compact_level(0)
+    apply_ordered(store, changes.where("seq > 8000"), "seq")
+    return read_back(store.scan("user0000000000000040", 15))
+
+
+@register("store_settled_read", f"WITH {EVENTS}, {live_sql()} {STORED}")
+def _(spark, folder):
+    """A compacted store, whose files hold each key once, read without an aggregation."""
+    store = new_store(spark)
+    apply_ordered(store, event_changes(spark, folder), "seq")
+    store.flush()
+    store.compact_level(0)
+    return read_back(store.df())

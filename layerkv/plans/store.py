@@ -4,7 +4,9 @@ Writes are segments: Parquet folders that become part of the store when a manife
 of a batch or nothing. ``flush`` collapses the segments into a file of level 0, ``maintain``
 compacts levels as their sizes ask for, and neither changes what any snapshot reads. Reads union the
 segments and files of one version and let one aggregation find the newest visible entries; Parquet
-statistics and Bloom filters prune inside files, the manifest's key ranges prune whole files.
+statistics and Bloom filters prune inside files, the manifest's key ranges prune whole files. A file that holds
+each of its keys once and meets no other part is read as it is, without that aggregation, and a scan with a limit
+reads up to the key that the manifest shows to be far enough.
 
 Any number of threads may write through one handle: they queue, and whoever gets the turn commits a group
 for all that wait. Of two handles, the second one's commit fails, since its version number is taken.
@@ -16,7 +18,8 @@ import threading
 import time
 import uuid
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from layerkv.operators import versions
 from layerkv.operators.amplification import ENTRY_BYTES, RECORD_BYTES
 from layerkv.plans.batch import WriteBatch, as_bytes
-from layerkv.plans.manifest import File, Folder, Segment, Version, decode, encode
+from layerkv.plans.manifest import File, Folder, Segment, Stretch, Version, decode, encode, stretches
 from layerkv.plans.options import Options, WriteOptions, compaction_level, group_size, should_publish
-from layerkv.schema import ENTRY, LEVELS, MAX_SEQUENCE, VALUE, InvalidArgument, NotFound, StoreError
+from layerkv.schema import DELETION, ENTRY, LEVELS, MAX_SEQUENCE, VALUE, InvalidArgument, NotFound, StoreError
 
 MANIFESTS, SEGMENTS, TABLES = "manifests", "segments", "tables"
 
@@ -60,6 +63,25 @@ COUNTED = {
 }
 
 
+def within(some: list[Stretch], low: str, high: str | None) -> list[Stretch]:
+    """Stretches that meet ``[low, high]``, without the parts of theirs that don't; what is left stays apart from the rest."""
+    kept = [[p for p in s.parts if p.largest >= low and (high is None or p.smallest <= high)] for s in some if s.largest >= low and (high is None or s.smallest <= high)]
+    return [found for parts in kept for found in stretches(parts)]
+
+
+def chunks(some: list[Stretch], size: int) -> Iterator[list[Stretch]]:
+    """Neighbouring stretches, closed when they reach ``size`` bytes."""
+    chunk, held = [], 0
+    for s in some:
+        chunk.append(s)
+        held += sum(p.file_size if isinstance(p, File) else p.size for p in s.parts)
+        if held >= size:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.options, self.folder = spark, options, Folder(spark, path)
@@ -204,45 +226,53 @@ class Store:
         with self._turn:
             if not self.pending:
                 return
-            rows = self._pending_rows(self.pending)
-            size = sum(b.approximate_size for _, b in self.pending)
-            self._add_segment(self.spark.createDataFrame(rows, ENTRY).coalesce(1), len(rows), size, self.last_sequence)
+            self._add_segment(self.spark.createDataFrame(self._pending_rows(self.pending), ENTRY).coalesce(1), self._pending_segment(self.pending), self.last_sequence)
             self.pending = []
 
-    def _add_segment(self, entries: DataFrame, rows: int, size: int | None, last: int, streams: dict[str, int] | None = None) -> None:
+    def _pending_segment(self, pending: list[tuple[int, WriteBatch]]) -> Segment:
+        """Unpublished batches as a segment without a place."""
+        entries = [e for _, batch in pending for e in batch.entries]
+        keys = [key for _, key, _ in entries]
+        return Segment(0, "", len(entries), sum(b.approximate_size for _, b in pending), sum(vtype == DELETION for vtype, _, _ in entries), min(keys).hex(), max(keys).hex())
+
+    def _add_segment(self, entries: DataFrame, segment: Segment, last: int, streams: dict[str, int] | None = None) -> None:
+        """Write and publish; ``segment`` gets its number and path here, and a size if it has none."""
         number = self.version.next_number
         name = f"{SEGMENTS}/{number:012d}-{uuid.uuid4().hex[:8]}"  # another writer may try the same number
         try:
-            self._writer(entries, rows).parquet(f"{self.folder.path}/{name}")
+            self._writer(entries, segment.rows).parquet(f"{self.folder.path}/{name}")
         except Exception as e:
             self.error = e
             raise
-        segment = Segment(number, name, rows, self.folder.size(name) if size is None else size)
+        segment = replace(segment, number=number, path=name, size=segment.size or self.folder.size(name))
         self._commit(self.version.next(next_number=number + 1, last_sequence=last, segments=(*self.version.segments, segment), streams=self.version.streams | (streams or {})))
 
-    def write_frame(self, changes: DataFrame, stream: str | None = None, batch_id: int = 0) -> int:
+    def write_frame(self, changes: DataFrame, stream: str | None = None, batch_id: int = 0, gapless: bool = False) -> int:
         """Apply a DataFrame ``ordinal, user_key, vtype, value`` as one batch; ordinals run from 0. Returns its rows.
 
-        With ``stream``, a micro-batch that was applied before is left out, so replays change nothing.
+        With ``stream``, a micro-batch that was applied before is left out, so replays change nothing. A caller that
+        made the ordinals ``gapless`` spares the count of distinct ones, which shuffles them.
         """
         with self._turn:
-            return self._write_frame(changes, stream, batch_id)
+            return self._write_frame(changes, stream, batch_id, gapless)
 
-    def _write_frame(self, changes: DataFrame, stream: str | None, batch_id: int) -> int:
+    def _write_frame(self, changes: DataFrame, stream: str | None, batch_id: int, gapless: bool) -> int:
         if self.error:
             raise StoreError("an earlier write failed") from self.error
         if stream is not None and self.version.streams.get(stream, -1) >= batch_id:
             return 0
         self.sync()
-        found = changes.agg(F.count(F.lit(1)), F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal")).first()
-        rows, low, high, distinct = found
+        key = F.col("user_key").cast("binary")
+        asked = [F.count(F.lit(1)), F.count_if(F.col("vtype") == DELETION), F.hex(F.min(key)), F.hex(F.max(key))]
+        rows, gone, smallest, largest, *ordinals = changes.agg(*asked, *([] if gapless else [F.min("ordinal"), F.max("ordinal"), F.count_distinct("ordinal")])).first()
+        low, high, distinct = ordinals or (0, rows - 1, rows)
         if rows and (low != 0 or high != rows - 1 or distinct != rows):
             raise InvalidArgument("ordinals must run from 0 without gaps or repeats")
         if rows or stream is not None:
             value = F.when(F.col("vtype") == VALUE, F.coalesce(F.col("value").cast("binary"), F.lit(b"")))
-            entries = changes.select(F.col("user_key").cast("binary"), (F.col("ordinal").cast("long") + self.last_sequence + 1).alias("seq"), F.col("vtype").cast("int"), value.alias("value"))
+            entries = changes.select(key.alias("user_key"), (F.col("ordinal").cast("long") + self.last_sequence + 1).alias("seq"), F.col("vtype").cast("int"), value.alias("value"))
             self.last_sequence += rows
-            self._add_segment(entries, rows, None, self.last_sequence, {stream: batch_id} if stream is not None else None)
+            self._add_segment(entries, Segment(0, "", rows, 0, gone, (smallest or "").lower(), (largest or "").lower()), self.last_sequence, {stream: batch_id} if stream is not None else None)
             self.counts["writes"] += rows
         return rows
 
@@ -252,24 +282,44 @@ class Store:
         """Entries of segments and files; a page that fails its checksum fails the read, unless options say not to look."""
         return self.spark.read.schema(ENTRY).option("parquet.page.verify-checksum.enabled", str(self.options.verify_checksums).lower()).parquet(*paths)
 
+    def _entries(self, parts: Iterable[File | Segment], pending: list[tuple[int, WriteBatch]]) -> DataFrame:
+        """All entries of published parts and of unpublished batches."""
+        paths = [f"{self.folder.path}/{p.path}" for p in parts]
+        found = [self._read(*paths)] if paths else []
+        if pending or not found:
+            found.append(self.spark.createDataFrame(self._pending_rows(pending), ENTRY))
+        return reduce(DataFrame.unionByName, found)
+
     def log(self, low: bytes | str | None = None, high: bytes | str | None = None) -> DataFrame:
         """All stored entries, of files whose range meets ``[low, high]`` if given."""
         lo, hi = (None if k is None else as_bytes(k).hex() for k in (low, high))
         pending, version = self.pending, self.version  # in this order: what is published in between is in both, and reads the same
-        files = [f for f in version.files if (lo is None or f.largest >= lo) and (hi is None or f.smallest <= hi)]
+        files = version.between(lo, hi)
         self.counts["files_pruned"] += len(version.files) - len(files)
-        paths = [f"{self.folder.path}/{s.path}" for s in version.segments] + [f"{self.folder.path}/{f.path}" for f in files]
-        parts = [self._read(*paths)] if paths else []
-        if pending or not parts:
-            parts.append(self.spark.createDataFrame(self._pending_rows(pending), ENTRY))
-        return reduce(DataFrame.unionByName, parts)
+        segments = [s for s in version.segments if (lo is None or s.largest >= lo) and (hi is None or s.smallest <= hi)]
+        return self._entries([*segments, *files], pending)
+
+    def _stretches(self) -> tuple[list[Stretch], list[tuple[int, WriteBatch]]]:
+        """The parts that a read sees, by key, and the unpublished batches among them."""
+        pending, version = self.pending, self.version
+        return (stretches([*version.files, *version.segments, self._pending_segment(pending)]) if pending else version.stretches), pending
+
+    def _live(self, some: list[Stretch], pending: list[tuple[int, WriteBatch]], at: int) -> DataFrame:
+        """Live rows of stretches; only those that aren't settled are resolved."""
+        settled = [s.parts[0] for s in some if s.settled]
+        open_parts = [p for s in some if not s.settled for p in s.parts]
+        held = [p for p in open_parts if p.path]
+        found = [versions.visible(self._entries(settled, []), at).where(F.col("vtype") == VALUE)] if settled else []
+        if open_parts or not settled:
+            found.append(versions.live(self._entries(held, pending if len(held) < len(open_parts) else []), at))
+        return reduce(DataFrame.unionByName, found).select("user_key", "value")
 
     def _at(self, snapshot: Snapshot | None) -> int:
         return self.last_sequence if snapshot is None else snapshot.sequence
 
     def df(self, snapshot: Snapshot | None = None) -> DataFrame:
         """``user_key, value`` of live rows, for any query; equality and ranges on the key reach the scans."""
-        return versions.live(self.log(), self._at(snapshot)).select("user_key", "value")
+        return self._live(*self._stretches(), self._at(snapshot))
 
     def get(self, key: bytes | str, snapshot: Snapshot | None = None) -> bytes | None:
         """The value, or none if the key is absent or deleted."""
@@ -295,22 +345,38 @@ class Store:
         return {bytes(r["user_key"]): bytes(r["value"]) for r in versions.live(log, self._at(snapshot)).collect()}
 
     def scan(self, start: bytes | str | None = None, limit: int | None = None, snapshot: Snapshot | None = None) -> DataFrame:
-        """Live rows in key order, from ``start`` on."""
-        log = self.log(start)
-        if start is not None:
-            log = log.where(F.col("user_key") >= F.lit(as_bytes(start)))
-        rows = versions.scan(log, self._at(snapshot))
+        """Live rows in key order, from ``start`` on. With a limit, files behind the key that is surely far enough are left out."""
+        at, low = self._at(snapshot), as_bytes(start or b"")
+        some, pending = self._stretches()
+        high = None
+        if limit is not None:
+            high = self.version.reach(low.hex(), limit, at, self._pending_segment(pending).deletions if pending else 0)
+        some = within(some, low.hex(), high)
+        rows = self._live(some, pending, at)
+        if low:
+            rows = rows.where(F.col("user_key") >= F.lit(low))
+        if high is not None:
+            rows = rows.where(F.col("user_key") <= F.lit(bytes.fromhex(high)))
+        rows = rows.orderBy("user_key")
         return rows if limit is None else rows.limit(limit)
 
     def iterate(self, start: bytes | str | None = None, snapshot: Snapshot | None = None) -> Iterator[tuple[bytes, bytes]]:
-        """A forward cursor; what it has passed is counted when it is closed or done: rows, and entries that it stepped over."""
-        log, at, returned, last, done = self.log(start), self._at(snapshot), 0, None, False
-        if start is not None:
-            log = log.where(F.col("user_key") >= F.lit(as_bytes(start)))
+        """A forward cursor; what it has passed is counted when it is closed or done: rows, and entries that it stepped over.
+
+        Stretches are read one after another, as many at once as make a task for each core, so the first rows don't wait for a
+        sort of the whole store.
+        """
+        at, low, returned, last, done = self._at(snapshot), as_bytes(start or b""), 0, None, False
+        log = self.log(start)
+        log = log.where(F.col("user_key") >= F.lit(low)) if low else log
+        some, pending = self._stretches()
         try:
-            for row in versions.scan(log, at).toLocalIterator():
-                returned, last = returned + 1, bytes(row["user_key"])
-                yield last, bytes(row["value"])
+            for chunk in chunks(within(some, low.hex(), None), self.options.target_file_size * self.spark.sparkContext.defaultParallelism):
+                rows = self._live(chunk, pending, at)
+                rows = rows.where(F.col("user_key") >= F.lit(low)) if low else rows
+                for row in rows.orderBy("user_key").toLocalIterator():
+                    returned, last = returned + 1, bytes(row["user_key"])
+                    yield last, bytes(row["value"])
             done = True
         finally:
             passed = log if done else log.where(F.col("user_key") <= F.lit(last)) if returned else log.limit(0)
@@ -342,17 +408,27 @@ class Store:
                 writer = writer.option(f"parquet.bloom.filter.{name}#user_key", str(value))
         return writer
 
-    def _write_table(self, entries: DataFrame, level: int, n_files: int, rows: int) -> tuple[tuple[File, ...], int]:
-        """Entries as sorted files of disjoint key ranges (a key is never split), and the next free number."""
+    def _write_table(self, entries: DataFrame, level: int, n_files: int, rows: int, unique: bool) -> tuple[tuple[File, ...], int]:
+        """Entries as sorted files of disjoint key ranges (a key is never split), and the next free number.
+
+        A file's bounds are its first and its last row, so no aggregation has to hold keys.
+        """
         number = self.version.next_number
         name = f"{TABLES}/{number:012d}-{uuid.uuid4().hex[:8]}"
         order = ["user_key", F.desc("seq")]
         placed = entries.repartitionByRange(n_files, "user_key") if n_files > 1 else entries.coalesce(1)
         self._writer(placed.sortWithinPartitions(*order), -(-rows // n_files)).parquet(f"{self.folder.path}/{name}")
+        file, place = F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("at")
         written = self.spark.read.schema(ENTRY).parquet(f"{self.folder.path}/{name}")
-        by_file = written.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.hex(F.min("user_key")).alias("lo"), F.hex(F.max("user_key")).alias("hi"), F.max("_metadata.file_size").alias("size"))
-        found = sorted(by_file.collect(), key=lambda r: r["lo"])  # one row for each file
-        return tuple(File(level, number + k, f"{name}/{r['f']}", r["n"], r["size"], r["lo"].lower(), r["hi"].lower()) for k, r in enumerate(found)), number + max(1, len(found))
+        size = F.max("_metadata.file_size").alias("size")
+        sums = written.groupBy(file).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vtype") == DELETION).alias("gone"), F.max("seq").alias("last"), size).collect()  # one row for each file
+        ends = self.spark.createDataFrame([(r["f"], k) for r in sums for k in {0, r["n"] - 1}], "f string, at bigint")
+        bounds: dict[str, list[str]] = {}
+        for r in written.select(file, place, F.lower(F.hex("user_key")).alias("k")).join(F.broadcast(ends), ["f", "at"]).collect():  # two rows for each file
+            bounds.setdefault(r["f"], []).append(r["k"])
+        found = sorted(sums, key=lambda r: min(bounds[r["f"]]))
+        files = tuple(File(level, number + k, f"{name}/{r['f']}", r["n"], r["size"], r["gone"], r["last"], unique, min(bounds[r["f"]]), max(bounds[r["f"]])) for k, r in enumerate(found))
+        return files, number + max(1, len(files))
 
     def flush(self) -> bool:
         """Collapse the tail into a run of level 0; nothing to do if it is empty. Deletions stay.
@@ -367,10 +443,11 @@ class Store:
         if not self.version.segments:
             return False
         tail = [f"{self.folder.path}/{s.path}" for s in self.version.segments]
-        kept = versions.collapse(self._read(*tail), self.smallest_snapshot())
+        oldest = self.smallest_snapshot()
+        kept = versions.collapse(self._read(*tail), oldest)
         rows = sum(s.rows for s in self.version.segments)
         size = sum(s.size for s in self.version.segments)
-        files, after = self._write_table(kept, 0, max(1, -(-size // self.options.memtable_size_bytes)), rows)
+        files, after = self._write_table(kept, 0, max(1, -(-size // self.options.memtable_size_bytes)), rows, oldest == self.last_sequence)
         self._commit(self.version.next(next_number=after, segments=(), files=(*self.version.files, *files)))
         self.counts["flushes"] += 1
         self.counts["flush_output_bytes"] += sum(f.file_size for f in files)
@@ -378,7 +455,7 @@ class Store:
         return True
 
     def pick_level(self) -> int | None:
-        files = {k: len({f.path.rpartition("/")[0] if k == 0 else f.path for f in self.version.level(k)}) for k in range(LEVELS)}  # level 0 counts runs
+        files = {k: len({f.run if k == 0 else f.path for f in self.version.level(k)}) for k in range(LEVELS)}  # level 0 counts runs
         return compaction_level(files, {k: sum(f.file_size for f in self.version.level(k)) for k in range(LEVELS)}, self.options)
 
     def compact_level(self, level: int) -> None:
@@ -401,9 +478,10 @@ class Store:
         merged = inputs + [f for f in self.version.level(level + 1) if f.meets(low, high)]
         bottom = not any(f.level >= level + 2 for f in self.version.files)
         log = self._read(*(f"{self.folder.path}/{f.path}" for f in merged))
-        kept = versions.compact(log, self.smallest_snapshot(), bottom)
+        oldest = self.smallest_snapshot()
+        kept = versions.compact(log, oldest, bottom)
         size = sum(f.file_size for f in merged)
-        files, after = self._write_table(kept, level + 1, -(-size // self.options.target_file_size), sum(f.rows for f in merged))
+        files, after = self._write_table(kept, level + 1, -(-size // self.options.target_file_size), sum(f.rows for f in merged), oldest == self.last_sequence)
         gone = {f.number for f in merged}
         pointers = self.version.pointers | ({str(level): high} if level else {})
         self._commit(self.version.next(next_number=after, files=tuple(f for f in self.version.files if f.number not in gone) + files, pointers=pointers))

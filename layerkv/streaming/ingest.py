@@ -31,7 +31,7 @@ def apply_ordered(store: Store, changes: DataFrame, order: str, stream: str | No
     """Apply ``user_key, vtype, value`` by the order column as one batch; returns its rows."""
     folder = store.folder.scratch()
     try:
-        return store.write_frame(numbered(changes, order, folder).select("ordinal", "user_key", "vtype", "value"), stream, batch_id)
+        return store.write_frame(numbered(changes, order, folder).select("ordinal", "user_key", "vtype", "value"), stream, batch_id, gapless=True)
     finally:
         store.folder.delete(folder.removeprefix(f"{store.folder.path}/"))
 

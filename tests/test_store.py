@@ -241,3 +241,68 @@ def test_a_large_tail_is_flushed_by_several_tasks(spark, tmp_path):
     assert len(files) > 1 and sum(f.rows for f in files) == 20_000 and store.pick_level() is None
     ranges = sorted((f.smallest, f.largest) for f in files)
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and store.df().count() == 20_000
+
+
+def read_files(rows):
+    return len({f.rpartition("/")[2] for f in rows.inputFiles()})
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_compacted_store_is_read_as_it_is(spark, tmp_path):
+    options = Options(background_compaction=False, l0_compaction_trigger=1, memtable_size_bytes=1 << 30, target_file_size=2000)
+    store = Store.open(spark, str(tmp_path / "s"), options)
+    numbers = spark.range(2000).select(F.col("id").alias("ordinal"), F.format_string("key%06d", F.col("id")).alias("user_key"), F.lit(1).alias("vtype"), F.sha2(F.col("id").cast("string"), 256).alias("value"))
+    store.write_frame(numbers)
+    store.compact_all()
+    assert len(store.version.files) > 5 and all(f.unique and not f.deletions and f.last <= 2000 for f in store.version.files)
+    assert sum(f.rows for f in store.version.files) == 2000 and "Exchange" not in plan(store.df()) and "Aggregate" not in plan(store.df())
+    page = store.scan("key000700", 10)
+    assert [bytes(r["user_key"]) for r in page.collect()] == [b"key%06d" % k for k in range(700, 710)]
+    assert read_files(page) <= 2 < read_files(store.scan("key000700"))
+    # a tail: its deletions are reckoned with, and only files it meets are resolved
+    batch = WriteBatch()
+    for k in range(695, 705):
+        batch.delete("key%06d" % k)
+    store.write(batch.put("key000700x", "new"))
+    assert [bytes(r["user_key"]) for r in store.scan("key000700", 3).collect()] == [b"key000700x", b"key000705", b"key000706"]
+    assert read_files(store.scan("key000700", 3)) <= 4 and "Union" in plan(store.df())
+    assert store.df().count() == 1991 and [k for k, _ in store.iterate("key001990")] == [b"key%06d" % k for k in range(1990, 2000)]
+    assert len(list(store.iterate())) == 1991
+
+
+def test_scans_with_limits_equal_a_model(spark, tmp_path):
+    options = Options(background_compaction=False, l0_compaction_trigger=2, memtable_size_bytes=1 << 30, target_file_size=1500, sync_policy=NEVER)
+    store, log, r, pinned, seq = Store.open(spark, str(tmp_path / "s"), options), [], random.Random(8), None, 0
+    for turn in range(5):
+        batch = WriteBatch()
+        for _ in range(250):
+            key, seq = b"k%04d" % r.randrange(300), seq + 1
+            gone = r.random() < (0.1, 0.1, 0.9, 0.1, 0.5)[turn]
+            batch.delete(key) if gone else batch.put(key, b"v%d" % seq)
+            log.append((key, seq, 0 if gone else 1, None if gone else b"v%d" % seq))
+        store.write(batch)
+        if turn == 2:
+            pinned = store.snapshot()
+        if turn < 4:
+            store.flush()
+            store.maintain()
+        for taken in {None, pinned}:
+            rows = sorted(live(log, taken.sequence if taken else seq).items())
+            for start, limit in ((None, 1), (b"k0100", 5), (b"k0290", 40), (b"z", 3), (None, 1000)):
+                asked = [(bytes(x["user_key"]), bytes(x["value"])) for x in store.scan(start, limit, taken).collect()]
+                assert asked == [x for x in rows if x[0] >= (start or b"")][:limit]
+            assert list(store.iterate(b"k0123", taken)) == [x for x in rows if x[0] >= b"k0123"]
+
+
+def test_a_level_is_searched_by_halves():
+    from layerkv.plans.manifest import File, Version
+
+    files = [File(level, level * 100 + k, f"tables/{level}/{k}", 5, 10, 0, 9, True, f"{4 * k:02x}", f"{4 * k + 2:02x}") for level in (0, 1, 3) for k in range(10)]
+    version = Version(files=tuple(files))
+    for low in (None, "00", "03", "0a", "7f"):
+        for high in (None, "00", "03", "0b", "7f"):
+            found = {f.number for f in version.between(low, high)}
+            assert found == {f.number for f in files if (low is None or f.largest >= low) and (high is None or f.smallest <= high)}
