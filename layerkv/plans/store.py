@@ -33,6 +33,8 @@ from layerkv.plans.options import Options, WriteOptions, compaction_level, group
 from layerkv.schema import DELETION, ENTRY, LEVELS, MAX_SEQUENCE, VALUE, InvalidArgument, NotFound, StoreError
 
 MANIFESTS, SEGMENTS, TABLES = "manifests", "segments", "tables"
+#: So many keys are asked for by equality, which reaches a file's filters; more are joined.
+FEW_KEYS = 16
 
 
 class Snapshot:
@@ -340,9 +342,19 @@ class Store:
         asked = sorted({as_bytes(k) for k in keys})
         if not asked:
             return {}
-        frame = self.spark.createDataFrame([(k,) for k in asked], "user_key binary")
-        log = self.log(asked[0], asked[-1]).join(F.broadcast(frame), "user_key", "left_semi")  # the caller's list
-        return {bytes(r["user_key"]): bytes(r["value"]) for r in versions.live(log, self._at(snapshot)).collect()}
+        return {bytes(r["user_key"]): bytes(r["value"]) for r in versions.live(self._asked(asked), self._at(snapshot)).collect()}
+
+    def _asked(self, keys: list[bytes]) -> DataFrame:
+        """All entries of some keys, in order: only files that may hold one are read, and few keys reach their filters."""
+        pending, version = self.pending, self.version
+        names = [k.hex() for k in keys]
+        files = {f.number: f for k in names for f in version.between(k, k)}
+        self.counts["files_pruned"] += len(version.files) - len(files)
+        log = self._entries([*version.segments, *files.values()], pending)
+        if len(keys) <= FEW_KEYS:
+            return log.where(reduce(lambda a, b: a | b, [F.col("user_key") == F.lit(k) for k in keys]))
+        frame = self.spark.createDataFrame([(k,) for k in keys], "user_key binary")
+        return log.where(F.col("user_key").between(F.lit(keys[0]), F.lit(keys[-1]))).join(frame, "user_key", "left_semi")
 
     def scan(self, start: bytes | str | None = None, limit: int | None = None, snapshot: Snapshot | None = None) -> DataFrame:
         """Live rows in key order, from ``start`` on. With a limit, files behind the key that is surely far enough are left out."""

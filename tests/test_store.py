@@ -262,6 +262,9 @@ def test_a_compacted_store_is_read_as_it_is(spark, tmp_path):
     page = store.scan("key000700", 10)
     assert [bytes(r["user_key"]) for r in page.collect()] == [b"key%06d" % k for k in range(700, 710)]
     assert read_files(page) <= 2 < read_files(store.scan("key000700"))
+    few, many = [b"key%06d" % k for k in (3, 4, 1990)], [b"key%06d" % k for k in range(0, 400, 9)]
+    assert read_files(store._asked(few)) == 2 and read_files(store._asked(many)) < len(store.version.files)
+    assert sorted(store.multi_get([*few, "nope"])) == few and sorted(store.multi_get([*many, "nope"])) == many
     # a tail: its deletions are reckoned with, and only files it meets are resolved
     batch = WriteBatch()
     for k in range(695, 705):
