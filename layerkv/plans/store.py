@@ -60,7 +60,7 @@ COUNTED = {
     "write": ("writes", "write_groups", "writes_grouped", "user_bytes_written", "bytes_written_to_log"),
     "publish": ("publishes",),
     "flush": ("flushes", "flush_output_bytes", "flush_versions_dropped"),
-    "compact": ("compactions", "compaction_input_bytes", "compaction_output_bytes"),
+    "compact": ("compactions", "files_moved", "compaction_input_bytes", "compaction_output_bytes"),
     "read": ("gets", "get_hits_tail", "files_probed", "files_pruned", "scan_entries_returned", "scan_entries_skipped"),
 }
 
@@ -474,7 +474,8 @@ class Store:
         """Merge files of a level with those they meet one level down, dropping what no snapshot needs.
 
         Level 0 goes down whole, since its files overlap; another level gives the first file behind
-        the key it last gave, beginning again at its end.
+        the key it last gave, beginning again at its end. A file that meets nothing there and from which nothing
+        can be dropped goes down in the manifest alone.
         """
         with self._turn:
             self._compact_level(level)
@@ -489,13 +490,18 @@ class Store:
         low, high = min(f.smallest for f in inputs), max(f.largest for f in inputs)
         merged = inputs + [f for f in self.version.level(level + 1) if f.meets(low, high)]
         bottom = not any(f.level >= level + 2 for f in self.version.files)
+        pointers = self.version.pointers | ({str(level): high} if level else {})
+        if level and len(merged) == 1 and merged[0].unique and not (bottom and merged[0].deletions):
+            self._commit(self.version.next(files=tuple(replace(f, level=level + 1) if f is merged[0] else f for f in self.version.files), pointers=pointers))
+            self.counts["compactions"] += 1
+            self.counts["files_moved"] += 1
+            return
         log = self._read(*(f"{self.folder.path}/{f.path}" for f in merged))
         oldest = self.smallest_snapshot()
         kept = versions.compact(log, oldest, bottom)
         size = sum(f.file_size for f in merged)
         files, after = self._write_table(kept, level + 1, -(-size // self.options.target_file_size), sum(f.rows for f in merged), oldest == self.last_sequence)
         gone = {f.number for f in merged}
-        pointers = self.version.pointers | ({str(level): high} if level else {})
         self._commit(self.version.next(next_number=after, files=tuple(f for f in self.version.files if f.number not in gone) + files, pointers=pointers))
         self.counts["compactions"] += 1
         self.counts["compaction_input_bytes"] += size

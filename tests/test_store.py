@@ -309,3 +309,23 @@ def test_a_level_is_searched_by_halves():
         for high in (None, "00", "03", "0b", "7f"):
             found = {f.number for f in version.between(low, high)}
             assert found == {f.number for f in files if (low is None or f.largest >= low) and (high is None or f.smallest <= high)}
+
+
+def test_files_that_meet_nothing_below_are_moved(spark, tmp_path):
+    options = Options(background_compaction=False, memtable_size_bytes=1 << 30)
+    store = Store.open(spark, str(tmp_path / "s"), options)
+    store.write(WriteBatch().put("a", "1").put("b", "2"))
+    store.flush()
+    store.compact_level(0)
+    (before,) = store.version.files
+    store.compact_level(1)
+    (after,) = store.version.files
+    assert (after.path, after.level, before.level) == (before.path, 2, 1) and store.counts["files_moved"] == 1
+    store.write(WriteBatch().put("c", "3").delete("d").delete("x"))
+    store.flush()
+    store.compact_level(0)
+    store.compact_level(1)  # the bottom is below, and nothing of this file's range: moved, if it weren't for its deletions
+    assert store.counts["files_moved"] == 1 and [(f.level, f.rows, f.deletions) for f in store.version.files] == [(2, 2, 0), (2, 1, 0)]
+    assert not [n for n in store.remove_obsolete() if n == after.path.rpartition("/")[0]] and content(store) == {b"a": b"1", b"b": b"2", b"c": b"3"}
+    again = Store.open(spark, str(tmp_path / "s"), options)
+    assert content(again) == content(store) and again.level_summary() == store.level_summary()
